@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, exact_dedup, url_filter, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, url_filter, warc
 from marlstone.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer of the registered queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -28,7 +39,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_url_filter, op7_warc, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op6_url_filter, op7_warc, op8_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
