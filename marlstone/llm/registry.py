@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, decontaminate, exact_dedup, url_filter, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, quality, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -38,8 +42,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op6_url_filter, op7_warc, op8_decontaminate)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_quality, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
