@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, decontaminate, exact_dedup, quality, toxicity, url_filter, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85).drop("class_id")
+
+
 def tokenizer_file() -> str:
     """The public tokenizer of the registered queries."""
     import public_tokenizers
@@ -47,8 +51,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_quality, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_near_dedup": near_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
