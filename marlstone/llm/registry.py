@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, decontaminate, exact_dedup, near_dedup, quality, toxicity, url_filter, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 
@@ -50,8 +50,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("offending")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
