@@ -357,13 +357,12 @@ def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), lexicon_words: int = LEXICON_WORDS, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Ids of every text and the text they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids``
     also ids (array<int>), with ``with_text`` also decoded.
 
     ``tokenizer`` is a tokenizer file; its contents travel with the job. No special tokens are added; their strings in a
-    text are read as the tokens. ``lexicon_words`` bounds the automaton, and with it what the driver holds. ``keep_cols``
-    names columns of ``docs`` to pass on.
+    text are read as the tokens. ``lexicon_words`` bounds the automaton, and with it what the driver holds.
 
     Null and empty texts have no ids and decode to an empty text. Texts of any length are encoded whole. Rows are
     independent, so repeated rows come out as often; an empty table gives an empty result. Letters that were assigned
@@ -378,20 +377,20 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     write_lexicon(compile_lexicon(words, dict(zip(words, model.merge(words)))), f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep_cols, F.col(text_col).alias("__text"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ddl = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         encoder = Encoder(own, Lexicon(SparkFiles.get(name)))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 ids = encoder.encode(texts[a:b])
                 decoded = [b" ".join(map(own.tokens.__getitem__, x.tolist())) for x in ids]
-                columns = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(0).slice(a, b - a)]
                 columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
                 columns += [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] * with_ids + [pa.array([x.decode("utf-8", "replace") for x in decoded])] * with_text
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text])
 
     return rows.mapInArrow(run, ddl)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +35,13 @@ def whole_text(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def in_batches(table_: pa.Table, rows: int = 8192) -> Iterator[pa.RecordBatch]:
-    yield from table_.to_batches(max_chunksize=rows)
+def packed(docs: DataFrame, text_col: str, carry: list[str] | None = None) -> tuple[DataFrame, str]:
+    """``carry`` (null: all columns) as one struct ``row`` beside the text, and the struct's DDL.
+
+    Rows pass through Python so whatever their columns are called, and only what is carried comes back from it.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("row"), F.col(text_col).alias("text"))
+    return rows, f"row {rows.schema['row'].dataType.simpleString()}"
 
 
 def crc_mod(id_col: str | Column, divisor: int) -> Column:

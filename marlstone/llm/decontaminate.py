@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import packed
+
 WINDOW = 10
 GRAM = 5
 #: A block of the benchmark that one pass looks for.
@@ -188,27 +190,24 @@ def _digest(names: Iterable[str]) -> str:
     return hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_cols: tuple[str, ...] = (), block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Words of each document that lie in a benchmark window: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     A window is ten consecutive words of an item; an item of one to nine words is one window. ``items`` lists the ids of
     items with a window in the document, sorted as strings; ``items_sha256`` is the SHA-256 of them joined by commas.
-    ``keep_cols`` names columns of ``docs`` to pass on.
+    Columns of ``docs`` that ``carry`` names come along as the struct ``row``.
 
     Null and empty texts have no words and no hits; an item without words has no window; a null item id counts as an empty
     string. Rows are judged one by one, so repeated rows come out as often. An empty benchmark leaves every row clean.
     If the benchmark takes more than one block, documents are scanned once for each block and the hit positions united.
     """
     spark = docs.sparkSession
-    kept = [F.col(c) for c in keep_cols]
     found = list(_spread(blocks(benchmark, block_words=block_words), spark))
-    schema = docs.select(F.col(id_col).alias("doc_id"), *kept).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", n_words long, n_hit long, items array<string>"
-    rows = docs.select(F.col(id_col).alias("doc_id"), *kept, F.col(text_col).alias("__text"))
+    rows, ddl = packed(docs, text_col, [id_col] if carry is None else carry)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts):
                 part = texts[a:b]
                 if len(found) == 1:
@@ -217,11 +216,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                     items = [[block.names[r] for r in row.tolist()] for row in ranks]
                 else:
                     n_words, n_hit, items = _united([x.value for x in found], part)
-                own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], [*batch.schema.names[:-1], "n_words", "n_hit", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit", "items"])
 
-    out = rows.mapInArrow(scan, ddl)
-    return out.select("doc_id", *keep_cols, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    out = rows.mapInArrow(scan, ddl + ", n_words long, n_hit long, items array<string>")
+    return out.select(F.col("row")[id_col].alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "row")
 
 
 def _spread(found: Iterator[BenchmarkBlock], spark) -> Iterator:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import crc_mod
+from marlstone.llm.common import crc_mod, packed
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -182,19 +182,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(np.array([r[2] for r in found], dtype=float).reshape(-1, len(FEATURES)), np.array([r[1] for r in found], dtype=float))
 
 
-def score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``, the probability of label 1, last. Null and empty texts are scored as empty."""
+def score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", out_col: str = "score", carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with ``out_col``, the probability of label 1, last, in place of one of that name.
+
+    Null texts are scored as empty ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("score") if "score" in docs.columns else docs
-    place = rows.columns.index(text_col)
+    rows, ddl = packed(docs.drop(out_col), text_col, carry)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(place).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], [*batch.schema.names, "score"])
+            texts = batch.column(1).to_pylist()
+            x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["row", "score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, ddl + ", score double")
+    return rows.mapInArrow(run, ddl + ", score double").select("row.*", F.col("score").alias(out_col))
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -207,5 +209,5 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held:
     """
     own = docs.select("doc_id", "text")
     model = train(own, labels.where(crc_mod("doc_id", fold) != held), sample_rows=sample_rows)
-    scored = score(own, model)
+    scored = score(own, model, carry=["doc_id"])
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, decontaminate, exact_dedup, near_dedup, pii, quality, toxicity, url_filter, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, quality, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 
@@ -33,6 +34,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
@@ -43,7 +48,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "row")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +60,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op5_line_dedup, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_near_dedup": near_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_near_dedup": near_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import crc_mod
+from marlstone.llm.common import crc_mod, packed
 from marlstone.llm.quality import labelled_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -157,25 +157,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([(lab, sentences(text)) for _, lab, text in bags])
 
 
-def score(docs: DataFrame, model: BagModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` and ``offending``: start, end and score of the sentences that score ``least`` or more."""
+def score(docs: DataFrame, model: BagModel, *, text_col: str = "text", least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with ``score`` and ``offending``: start, end and score of the sentences that score ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("score", "offending")
-    place = rows.columns.index(text_col)
+    rows, ddl = packed(docs.drop("score", "offending"), text_col, carry)
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             scores, spans = [], []
-            for text in batch.column(place).to_pylist():
+            for text in batch.column(1).to_pylist():
                 whole, parts = own.scores(text)
                 scores.append(whole)
                 spans.append([dict(zip(("start", "end", "score"), x)) for x in own.located(text, least)] if max(parts, default=0) >= least else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(spans, pa.list_(struct))], [*batch.schema.names, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(struct))], ["row", "score", "offending"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, ddl + ", score double, offending array<struct<start: int, end: int, score: double>>")
+    return rows.mapInArrow(run, ddl + ", score double, offending array<struct<start: int, end: int, score: double>>").select("row.*", "score", "offending")
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame, *, fold: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -188,5 +186,5 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, fold: int = 4, held:
     """
     own = docs.select("doc_id", "text")
     model = train(own, labels.where(crc_mod("doc_id", fold) != held), sample_rows=sample_rows)
-    scored = score(own, model)
+    scored = score(own, model, carry=["doc_id"])
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending")
