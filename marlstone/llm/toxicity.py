@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import crc_mod, packed
+from marlstone.llm.common import crc_mod, packed, persisted
 from marlstone.llm.quality import labelled_sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -30,6 +30,8 @@ LEXICON = 4000
 LEAST_DOCS = 3
 LEAST_Z = 3.0
 STEMS = (4, 5, 6, 7)
+#: Documents whose words a task counts before it hands them on.
+COUNT_ROWS = 1000
 #: Words whose weight a task remembers.
 CACHE_WORDS = 200_000
 STEPS = 300
@@ -93,49 +95,44 @@ class BagModel:
         return out
 
 
-def pick_words(bags: list[tuple[int, list[list[bytes]]]], n: int = LEXICON) -> list[bytes]:
-    """Words whose documents are toxic more often than the sample's share explains, by z-score."""
+def count_parts(rows: Iterable[tuple[int, str | None]]) -> dict[bytes, list[int]]:
+    """For each word and stem: documents that have it, and toxic ones among them."""
     seen: dict[bytes, list[int]] = {}
-    toxic = 0
-    for label, bag in bags:
-        toxic += label
-        for w in {p for w in {w for s in bag for w in s} for p in parts_of(w)}:
-            c = seen.setdefault(w, [0, 0])
+    for label, text in rows:
+        for part in {p for w in {w for s in sentences(text) for w in s} for p in parts_of(w)}:
+            c = seen.setdefault(part, [0, 0])
             c[0] += 1
             c[1] += label
-    share = toxic / max(1, len(bags))
-    z = {w: (k - share * m) / np.sqrt(m * share * (1 - share)) for w, (m, k) in seen.items() if m >= LEAST_DOCS and 0 < share < 1}
-    return sorted((w for w, v in z.items() if v > LEAST_Z), key=lambda w: (-z[w], w))[:n]
+    return seen
 
 
-def fit(bags: list[tuple[int, list[list[bytes]]]], *, steps: int = STEPS, ridge: float = 0.05) -> BagModel:
-    """Full-batch likelihood ascent (Adam). Without labels of both kinds there are no words and the leak is the share."""
+def numbered(text: str | None, number: dict[bytes, int]) -> tuple[int, list[list[int]]]:
+    """Sentences without any of the words, which all score alike, as a count; the words' numbers in the others."""
+    plain, bag = 0, []
+    for words in sentences(text):
+        own = [number[p] for w in sorted(set(words)) for p in parts_of(w) if p in number]
+        if own:
+            bag.append(own)
+        else:
+            plain += 1
+    return plain, bag
+
+
+def fit(words: list[bytes], bags: list[tuple[int, int, list[list[int]]]], *, steps: int = STEPS, ridge: float = 0.05) -> BagModel:
+    """Full-batch likelihood ascent (Adam) on (label, plain sentences, word numbers of the others).
+
+    Without labels of both kinds there are no words and the leak is the share.
+    """
     y = np.array([b[0] for b in bags], dtype=float)
     share = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
         return BagModel({}, -20.0, float(-np.log1p(-share)))
-    words = pick_words(bags)
-    number = {w: i for i, w in enumerate(words)}
-    known: dict[bytes, list[int]] = {}
-
-    def numbers(word: bytes) -> list[int]:
-        if word not in known:
-            known[word] = [number[p] for p in parts_of(word) if p in number]
-        return known[word]
-
-    owner, sentence, word, n = [], [], [], 0
-    plain = np.zeros(len(bags))  # sentences without any of the words: all score alike
-    for d, (_, bag) in enumerate(bags):
-        for s in bag:
-            own = [i for w in sorted(set(s)) for i in numbers(w)]
-            if own:
-                owner.append(d)
-                word += own
-                sentence += [n] * len(own)
-                n += 1
-            else:
-                plain[d] += 1
-    owner, sentence, word = (np.array(x, dtype=np.int64) for x in (owner, sentence, word))
+    plain = np.array([b[1] for b in bags], dtype=float)
+    owner = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
+    flat = [s for b in bags for s in b[2]]
+    n = len(flat)
+    sentence = np.repeat(np.arange(n), [len(s) for s in flat])
+    word = np.array([i for s in flat for i in s], dtype=np.int64)
     theta = np.concatenate([np.zeros(len(words)), [-8.0, np.log(np.expm1(0.02))]])
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -151,10 +148,37 @@ def fit(bags: list[tuple[int, list[list[bytes]]]], *, steps: int = STEPS, ridge:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> BagModel:
-    """Fit on the rows of ``labels``; ``sample_rows`` bounds the documents that the driver holds."""
+    """Fit on the rows of ``labels``; ``sample_rows`` bounds the documents that are used.
+
+    Words are counted and numbered on the executors; the driver holds at most LEXICON words and their numbers in the
+    sample's sentences.
+    """
     rows = labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("__text")), labels, label, sample_rows, id_col)
-    bags = sorted(((str(i), lab, text or "") for i, lab, text in rows.select(F.col(id_col), "__label", "__text").toLocalIterator()), key=lambda r: r)
-    return fit([(lab, sentences(text)) for _, lab, text in bags])
+    sample = persisted(rows.select(F.col(id_col).cast("string").alias("id"), F.col("__label").alias("label"), F.coalesce("__text", F.lit("")).alias("text")))
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    words: list[bytes] = []
+    if 0 < toxic < n:
+        share = toxic / n
+
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in range(0, batch.num_rows, COUNT_ROWS):
+                    own = batch.slice(part, COUNT_ROWS)
+                    seen = count_parts(zip(own.column(1).to_pylist(), own.column(2).to_pylist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], ["word", "m", "k"])
+
+        counts = sample.mapInArrow(count, "word binary, m long, k long").groupBy("word").agg(F.sum("m").alias("m"), F.sum("k").alias("k")).where(F.col("m") >= LEAST_DOCS)
+        z = (F.col("k") - share * F.col("m")) / F.sqrt(F.col("m") * (share * (1 - share)))
+        words = [bytes(r["word"]) for r in counts.withColumn("z", z).where(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()]
+    number = {w: i for i, w in enumerate(words)}
+
+    def to_numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [numbered(t, number) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.list_(pa.int32())))], ["id", "label", "plain", "bag"])
+
+    found = sample.mapInArrow(to_numbers, "id string, label int, plain long, bag array<array<int>>").collect()
+    return fit(words, sorted((r["label"], r["plain"], r["bag"]) for r in sorted(found, key=lambda r: r["id"])))
 
 
 def score(docs: DataFrame, model: BagModel, *, text_col: str = "text", least: float = 0.5, carry: list[str] | None = None) -> DataFrame:
