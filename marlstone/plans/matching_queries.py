@@ -1 +1,152 @@
-"""Queries follow."""
+"""Greedy matching, recall, sweeps, arm differences."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marlstone.functions import geometry as g
+from marlstone.operators import aggregates as agg
+from marlstone.operators import coco, joins, matching
+from marlstone.plans.fixtures import annotations, detections, sql
+from marlstone.plans.registry import query
+
+_I = "greatest(least(d.x + d.w, a.x + a.w) - greatest(d.x, a.x), 0) * greatest(least(d.y + d.h, a.y + a.h) - greatest(d.y, a.y), 0)"
+
+
+def greedy_sql(tie: str = "ann_id", arm: str = "0", group: str = "image_id, cls", classes: bool = True, threshold: str = "0.5") -> str:
+    """Recursive matching: one detection of every group a step. Gives m(arm, image_id, cls, det_id, ann_id, iou)."""
+    same = "AND d.cls = a.cls" if classes else ""
+    part = "image_id, cls" if classes else "image_id"
+    cls = "d.cls" if classes else "'any' AS cls"
+    return f""", RECURSIVE_MARK cand AS (SELECT d.arm, d.image_id, {cls}, d.det_id, d.score, a.ann_id, {_I} / (d.w * d.h + a.w * a.h - {_I}) AS iou FROM det d JOIN ann a ON d.image_id = a.image_id {same} AND {_I} > 0 WHERE d.arm IN ({arm})),
+dd AS (SELECT arm, image_id, cls, det_id, row_number() OVER (PARTITION BY arm, image_id, cls ORDER BY score DESC, det_id) AS k, opts FROM (
+  SELECT arm, image_id, cls, det_id, score, list(struct_pack(ann_id := ann_id, iou := iou) ORDER BY iou DESC, {tie}) AS opts FROM cand GROUP BY ALL)),
+fold AS (
+  SELECT arm, image_id, cls, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS det_id, NULL::BIGINT AS ann_id, NULL::DOUBLE AS iou FROM (SELECT DISTINCT arm, image_id, cls FROM dd)
+  UNION ALL
+  SELECT f.arm, f.image_id, f.cls, dd.k, CASE WHEN o.iou >= {threshold} THEN list_append(f.used, o.ann_id) ELSE f.used END, CASE WHEN o.iou >= {threshold} THEN dd.det_id END, CASE WHEN o.iou >= {threshold} THEN o.ann_id END, o.iou
+  FROM fold f JOIN dd ON f.arm = dd.arm AND f.image_id = dd.image_id AND f.cls = dd.cls AND dd.k = f.k + 1, LATERAL (SELECT list_filter(dd.opts, lambda e: NOT list_contains(f.used, e.ann_id))[1] AS o)),
+m AS (SELECT arm, image_id, cls, det_id, ann_id, iou FROM fold WHERE det_id IS NOT NULL)"""
+
+
+def recursive(body: str) -> str:
+    return sql(body.replace("RECURSIVE_MARK ", "")).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _matched(spark, sf_dir, arms=(0,)):
+    det = detections(spark, sf_dir).where(F.col("arm").isin(*arms))
+    ann = annotations(spark, sf_dir)
+    return det, ann, matching.greedy(matching.candidates(det, ann, ["image_id", "cls"], ["arm"]), ["arm", "image_id", "cls"], 0.5)
+
+
+@query(recursive(greedy_sql() + " SELECT det_id, ann_id, iou FROM m"))
+def greedy_match(spark, sf_dir):
+    """Class-aware one-to-one matching by score; the best free truth, first of equals."""
+    return _matched(spark, sf_dir)[2].select("det_id", "ann_id", "iou")
+
+
+@query(recursive(greedy_sql(tie="ann_id DESC") + " SELECT det_id, ann_id, iou FROM m"))
+def greedy_match_last_tie(spark, sf_dir):
+    """Of equal truths the last."""
+    det = detections(spark, sf_dir).where("arm = 0")
+    pairs = matching.candidates(det, annotations(spark, sf_dir), ["image_id", "cls"])
+    return matching.greedy(pairs, ["image_id", "cls"], 0.5, last_of_equal=True).select("det_id", "ann_id", "iou")
+
+
+@query(recursive(greedy_sql(classes=False, threshold="0.3") + " SELECT det_id, ann_id, iou FROM m"))
+def greedy_match_any_class(spark, sf_dir):
+    det = detections(spark, sf_dir).where("arm = 0")
+    pairs = matching.candidates(det, annotations(spark, sf_dir), ["image_id"])
+    return matching.greedy(pairs, ["image_id"], 0.3).select("det_id", "ann_id", "iou")
+
+
+@query(recursive(f"""
+, cand AS (SELECT d.image_id, d.det_id AS l, a.det_id AS r, {_I} / (d.w * d.h + a.w * a.h - {_I}) AS iou FROM det d JOIN det a ON d.image_id = a.image_id AND d.cls = a.cls AND d.arm = 0 AND a.arm = 1 AND {_I} > 0),
+c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY iou DESC, l, r) AS k FROM cand WHERE iou >= 0.5),
+fold AS (
+  SELECT image_id, 0::BIGINT AS k, []::BIGINT[] AS ul, []::BIGINT[] AS ur, NULL::BIGINT AS l, NULL::BIGINT AS r, NULL::DOUBLE AS iou FROM (SELECT DISTINCT image_id FROM c)
+  UNION ALL
+  SELECT f.image_id, c.k, CASE WHEN ok THEN list_append(f.ul, c.l) ELSE f.ul END, CASE WHEN ok THEN list_append(f.ur, c.r) ELSE f.ur END, CASE WHEN ok THEN c.l END, CASE WHEN ok THEN c.r END, c.iou
+  FROM fold f JOIN c ON f.image_id = c.image_id AND c.k = f.k + 1, LATERAL (SELECT NOT list_contains(f.ul, c.l) AND NOT list_contains(f.ur, c.r) AS ok))
+SELECT l AS left_id, r AS right_id, iou FROM fold WHERE l IS NOT NULL"""))
+def pair_two_arms(spark, sf_dir):
+    """Greedy pairing of two arms' detections by IoU alone."""
+    det = detections(spark, sf_dir)
+    right = det.where("arm = 1").withColumnRenamed("det_id", "ann_id")
+    pairs = matching.candidates(det.where("arm = 0"), right, ["image_id", "cls"])
+    out = matching.greedy_pairs(pairs, ["image_id"], 0.5)
+    return out.select(F.col("det_id").alias("left_id"), F.col("ann_id").alias("right_id"), "iou")
+
+
+@query(recursive(greedy_sql(arm="0, 1") + """
+, t AS (SELECT d.arm, d.cls, count(m.det_id) AS tp, count(*) - count(m.det_id) AS fp FROM det d LEFT JOIN m USING (arm, det_id) GROUP BY d.arm, d.cls),
+n AS (SELECT cls, count(*) AS n FROM ann GROUP BY cls), i AS (SELECT arm, cls, median(iou) AS mid FROM m GROUP BY arm, cls)
+SELECT arm, cls, tp, fp, n - tp AS fn, round(tp / greatest(tp + fp, 1), 6) AS "precision", round(tp / greatest(n, 1), 6) AS recall, round(2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(n, 1)) / (tp / greatest(tp + fp, 1) + tp / greatest(n, 1)), 6) AS f1, round(mid, 6) AS median_iou
+FROM t JOIN n USING (cls) JOIN i USING (arm, cls)"""))
+def precision_recall(spark, sf_dir):
+    """Micro-averaged precision, recall, F1 and median IoU by arm and class."""
+    det, ann, edges = _matched(spark, sf_dir, (0, 1))
+    d = det.join(edges.select("arm", "det_id", "iou"), ["arm", "det_id"], "left").groupBy("arm", "cls").agg(F.count("iou").alias("tp"), F.count_if(F.col("iou").isNull()).alias("fp"), F.percentile("iou", 0.5).alias("mid"))
+    rows = d.join(ann.groupBy("cls").agg(F.count("*").alias("n")), "cls").withColumn("fn", F.col("n") - F.col("tp"))
+    m = agg.precision_recall_f1(F.col("tp"), F.col("fp"), F.col("fn"))
+    return rows.select("arm", "cls", "tp", "fp", "fn", *[F.round(c, 6).alias(k) for k, c in m.items()], F.round("mid", 6).alias("median_iou"))
+
+
+@query(recursive(greedy_sql() + f"""
+, wrong AS (SELECT d.* FROM det d LEFT JOIN m USING (det_id) WHERE d.arm = 0 AND m.det_id IS NULL),
+b AS (SELECT d.det_id, max(CASE WHEN d.cls = a.cls THEN {_I} / (d.w * d.h + a.w * a.h - {_I}) END) AS own, max(CASE WHEN d.cls <> a.cls THEN {_I} / (d.w * d.h + a.w * a.h - {_I}) END) AS other FROM wrong d JOIN ann a USING (image_id) GROUP BY d.det_id)
+SELECT CASE WHEN b.det_id IS NULL THEN 'empty_gt' WHEN own >= 0.5 THEN 'duplicate' WHEN own >= 0.1 THEN 'localization' WHEN other >= 0.1 THEN 'semantic' ELSE 'background' END AS error, count(*) AS n FROM wrong LEFT JOIN b USING (det_id) GROUP BY 1"""))
+def error_histogram(spark, sf_dir):
+    """Kinds of false positives."""
+    det, ann, edges = _matched(spark, sf_dir)
+    return matching.error_types(det, ann, edges).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query(recursive(greedy_sql() + """
+, s AS (SELECT score, count(m.det_id) AS tp, count(*) - count(m.det_id) AS fp FROM det d LEFT JOIN m USING (det_id) WHERE d.arm = 0 GROUP BY score)
+SELECT score AS threshold, CAST(sum(tp) OVER (ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(fp) OVER (ORDER BY score DESC) AS BIGINT) AS fp, (SELECT count(*) FROM ann) AS n_truth FROM s"""))
+def operating_sweep(spark, sf_dir):
+    """Counts at every distinct score."""
+    return matching.sweep(*_matched(spark, sf_dir))
+
+
+@query(recursive(greedy_sql() + """
+, s AS (SELECT score, count(m.det_id) AS tp, count(*) AS k FROM det d LEFT JOIN m USING (det_id) WHERE d.arm = 0 GROUP BY score),
+c AS (SELECT score AS threshold, sum(tp) OVER w / greatest(sum(k) OVER w, 1) AS p, sum(tp) OVER w / (SELECT count(*) FROM ann) AS r FROM s WINDOW w AS (ORDER BY score DESC))
+SELECT threshold, round(p, 6) AS "precision", round(r, 6) AS recall FROM c WHERE p >= 0.8 AND r > 0 ORDER BY r DESC, p DESC, threshold DESC LIMIT 1"""))
+def operating_point(spark, sf_dir):
+    """The threshold with the most recall whose precision reaches the floor."""
+    rows = matching.sweep(*_matched(spark, sf_dir)).select("threshold", (F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1))).alias("p"), (F.col("tp") / F.col("n_truth")).alias("r"))
+    return rows.where("p >= 0.8 and r > 0").orderBy(F.desc("r"), F.desc("p"), F.desc("threshold")).limit(1).select("threshold", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"))
+
+
+@query(recursive(greedy_sql(arm="0, 1") + """
+, a0 AS (SELECT ann_id FROM m WHERE arm = 0), a1 AS (SELECT ann_id FROM m WHERE arm = 1)
+SELECT cls, CASE WHEN a0.ann_id IS NULL AND a1.ann_id IS NULL THEN 'both_wrong' WHEN a0.ann_id IS NULL THEN 'fixed_fn' WHEN a1.ann_id IS NULL THEN 'new_fn' ELSE 'both_right' END AS outcome, count(*) AS n
+FROM ann LEFT JOIN a0 USING (ann_id) LEFT JOIN a1 USING (ann_id) GROUP BY ALL"""))
+def arm_difference(spark, sf_dir):
+    """Four-way outcome of each truth under two arms."""
+    _, ann, edges = _matched(spark, sf_dir, (0, 1))
+    hit = edges.groupBy("ann_id").agg(F.bool_or(F.col("arm") == 0).alias("a0"), F.bool_or(F.col("arm") == 1).alias("a1"))
+    a0, a1 = F.coalesce("a0", F.lit(False)), F.coalesce("a1", F.lit(False))
+    outcome = F.when(~a0 & ~a1, "both_wrong").when(~a0, "fixed_fn").when(~a1, "new_fn").otherwise("both_right")
+    return ann.join(hit, "ann_id", "left").groupBy("cls", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(recursive(greedy_sql() + f"""
+, f AS (SELECT ann.* FROM ann LEFT JOIN m USING (ann_id) WHERE m.ann_id IS NULL),
+c AS (SELECT a.ann_id, bool_or({_I} / (d.w * d.h + a.w * a.h - {_I}) >= 0.5) AS near, bool_or({_I} / (d.w * d.h + a.w * a.h - {_I}) >= 0.5 AND d.cls = a.cls) AS own FROM f a JOIN det d ON d.arm = 0 AND d.image_id = a.image_id GROUP BY a.ann_id)
+SELECT CASE WHEN coalesce(own, false) THEN 'consumed' WHEN coalesce(near, false) THEN 'other_class' ELSE 'not_localised' END AS miss, count(*) AS n FROM f LEFT JOIN c USING (ann_id) GROUP BY 1"""))
+def miss_attribution(spark, sf_dir):
+    """Why each unmatched truth was missed."""
+    det, ann, edges = _matched(spark, sf_dir)
+    missed = ann.join(edges, "ann_id", "left_anti")
+    pairs = joins.pairs_in(missed, det, ["image_id"]).withColumn("near", g.iou(g.box("l_"), g.box("r_")) >= 0.5)
+    c = pairs.groupBy(F.col("l_ann_id").alias("ann_id")).agg(F.bool_or("near").alias("near"), F.bool_or(F.col("near") & (F.col("l_cls") == F.col("r_cls"))).alias("own"))
+    return missed.join(c, "ann_id", "left").groupBy(F.when(F.coalesce("own", F.lit(False)), "consumed").when(F.coalesce("near", F.lit(False)), "other_class").otherwise("not_localised").alias("miss")).agg(F.count("*").alias("n"))
+
+
+@query()
+def average_precision(spark, sf_dir):
+    """Average precision by arm, class and area over ten IoU thresholds; tests hold it against hand arithmetic."""
+    return coco.average_precision(detections(spark, sf_dir), annotations(spark, sf_dir))
