@@ -11,29 +11,23 @@ from marlstone.llm.common import persisted
 def components(edges: DataFrame) -> DataFrame:
     """node, label for each node of ``edges`` (a, b): the label is one node of its component, alike for all of it.
 
-    Every round each node takes the smallest label beside it, labels are followed two steps, and the edges between
-    different labels are what the next round works on; rounds end when none is left. Only sums and joins on nodes are
-    used, so no component lies in one task. Null nodes are left out. The label is the smallest node if rounds end
-    with it, which holds because a label only ever falls.
+    Every round each node takes the smallest node beside it, that one's choice is followed once, and the edges between
+    different choices are what the next round works on; rounds end when none is left. Only minima and joins on nodes
+    are used, so no component lies in one task. Null nodes and loops are left out.
     """
     edges = persisted(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        step = persisted(step)
-        for _ in range(2):
-            after = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            step = step.join(after, "to", "left").select("node", F.coalesce("further", "to").alias("to"))
-        step = persisted(step)
+        step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to"))
+        after = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        step = persisted(step.join(after, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
         if nodes is None:
             nodes = step.select("node", F.col("to").alias("label"))
         else:
             nodes = nodes.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        nodes = persisted(nodes)
         left = step.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = persisted(edges)
+        edges = persisted(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
-            return nodes
+            return persisted(nodes)

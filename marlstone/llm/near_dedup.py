@@ -8,10 +8,11 @@ larger, smaller or equal, given both set sizes; what may reach the threshold is
 
 Texts with equal sets are one class, and only one text of a class goes on. In each bucket of a band all texts are first
 held against one leader, which connects most of a large group by as many pairs as it has texts. What is left are buckets
-whose texts (but the leader) lie in more than one component. There, the texts outside the largest component are held
-against all others, in cells of bounded size that also skip what has become connected, and only links come out. So no link
-between different texts is lost but those whose texts share no band (chance ``MISS``), while a group of copies never turns
-into all its pairs.
+whose texts (but the leader) lie in more than one component. There, the sketches outside the largest component are held
+against all others, in cells of bounded size, and components with a likely link between them form a cluster. In each
+cluster the texts outside its largest component meet all others once, again in cells of bounded size, which skip what has
+become connected and give links only. So no link between different texts is lost but those whose texts share no band
+(chance ``MISS``), while a group of copies never turns into all its pairs.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SIGMAS = 5.5
 CHUNK_SHINGLES = 60_000
 #: Texts of one side of a cell.
 CELL = 256
+#: Class representatives whose ids are broadcast to fetch their texts; beyond, texts are joined by shuffling.
+BROADCAST_IDS = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -96,17 +99,22 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def estimate(larger: np.ndarray, smaller: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Likeliest Jaccard similarity where ``larger`` of m registers of a exceed those of b and ``smaller`` fall short."""
-    u = n_a / (n_a + n_b)
+    u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
-    top = np.minimum(u / v, v / u)
-    best, out = np.full(np.shape(u), -np.inf), np.zeros(np.shape(u))
-    chance = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
-    for k in range(1, 129):
-        j = top * k / 128
-        more, less = np.maximum(chance(u - v * j), 1e-12), np.maximum(chance(v - u * j), 1e-12)
-        value = larger * np.log(more) + smaller * np.log(less) + (m - larger - smaller) * np.log(np.maximum(1 - more - less, 1e-12))
-        won = value > best
-        best, out = np.where(won, value, best), np.where(won, j, out)
+    j = np.minimum(u / v, v / u) * (np.arange(1, 129) / 128)
+    chance = lambda x: -np.log1p(-np.clip(x, 0, 1) * ((BASE - 1) / BASE)) / math.log(BASE)
+    more, less = np.maximum(chance(u - v * j), 1e-12), np.maximum(chance(v - u * j), 1e-12)
+    value = larger[:, None] * np.log(more) + smaller[:, None] * np.log(less) + (m - larger - smaller)[:, None] * np.log(np.maximum(1 - more - less, 1e-12))
+    return j[np.arange(len(j)), value.argmax(1)]
+
+
+def reaches(more: np.ndarray, less: np.ndarray, m: int, n_a: np.ndarray, n_b: np.ndarray, floor: float) -> np.ndarray:
+    """Whether the estimate reaches ``floor``; pairs far below it by their equal registers alone are not estimated."""
+    out = np.zeros(len(more), dtype=bool)
+    near = np.flatnonzero((m - more - less) / m >= floor - 0.08)
+    for part in np.array_split(near, max(1, -(-len(near) // 4096))):
+        if len(part):
+            out[part] = estimate(more[part], less[part], m, n_a[part], n_b[part]) >= floor
     return out
 
 
@@ -168,7 +176,7 @@ def _likely(pairs: DataFrame, m: int, floor: float) -> DataFrame:
             if not len(n_a):
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(len(n_a), m) for i in (4, 5))
-            keep = estimate((ra > rb).sum(1), (ra < rb).sum(1), m, n_a, n_b) >= floor
+            keep = reaches((ra > rb).sum(1), (ra < rb).sum(1), m, n_a.astype(float), n_b.astype(float), floor)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a binary, b binary")
@@ -199,21 +207,60 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _cells(rows: DataFrame, size: int, percent: int, m: int) -> DataFrame:
-    """Links inside each cell between strays and the others; ``rows``: cell, stray, node, label, n, registers, text."""
+def _celled(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """``rows`` (group, label, node, ...) dealt to cells (group, i, j): those outside the group's largest label to every
+    cell of their block i as strays, all to every cell of their block j."""
+    parts = rows.groupBy(group, "label").agg(F.count("*").alias("k"))
+    sizes = parts.groupBy(group).agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("largest")).where("parts > 1")
+    sizes = sizes.select(group, F.col("largest.label").alias("largest"), (F.floor((F.col("size") - F.col("largest.k")) / CELL) + 1).alias("rows_"), (F.floor(F.col("size") / CELL) + 1).alias("columns_"))
+    met = persisted(rows.join(sizes, group).withColumn("h", F.xxhash64("node")))
+    count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    others = met.select(group, "label", "node", F.lit(False).alias("stray"), F.pmod("h", "columns_").alias("j"), count("rows_").alias("i"), *columns)
+    strays = met.where("label <> largest").select(group, "label", "node", F.lit(True).alias("stray"), F.pmod("h", "rows_").alias("i"), count("columns_").alias("j"), *columns)
+    return others.unionByName(strays)
+
+
+def _pairs_of(cell: pa.Table, percent: int, m: int, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each stray's row number with those of the others whose label differs and whose estimate reaches ``floor``."""
+    stray, n = np.array(cell.column("stray").to_pylist(), dtype=bool), np.array(cell.column("n").to_pylist(), dtype=float)
+    r = np.frombuffer(b"".join(cell.column("registers").to_pylist()), dtype="<u2").reshape(len(n), m)
+    _, label = np.unique(np.array([x.hex() for x in cell.column("label").to_pylist()]), return_inverse=True)
+    others = np.flatnonzero(~stray)
+    for i in np.flatnonzero(stray).tolist():
+        j = others[(label[others] != label[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+        if len(j):
+            j = j[reaches((r[i] > r[j]).sum(1), (r[i] < r[j]).sum(1), m, np.full(len(j), n[i]), n[j], floor)]
+            if len(j):
+                yield i, j
+
+
+def _likely_labels(cells: DataFrame, group: str, percent: int, m: int) -> DataFrame:
+    """a, b: pairs of labels with a likely link between them."""
     floor = _floor(percent, m)
 
     def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(groups))
-        col = {c: whole.column(c).to_pylist() for c in ("stray", "node", "label", "n")}
-        found = _cell_links(col["stray"], col["node"], col["label"], np.array(col["n"], dtype=float), whole.column("registers").to_pylist(), whole.column("text"), size, percent, m, floor)
+        cell = pa.Table.from_batches(list(groups))
+        label = cell.column("label").to_pylist()
+        found = {(label[i], label[k]) for i, j in _pairs_of(cell, percent, m, floor) for k in j.tolist()}
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary")
+    return cells.groupBy(group, "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def _cell_links(stray, node, label, n, sketches, texts, size, percent, m, floor) -> list[tuple[bytes, bytes]]:
-    r = np.frombuffer(b"".join(sketches), dtype="<u2").reshape(len(node), m)
+def _links(cells: DataFrame, group: str, size: int, percent: int, m: int) -> DataFrame:
+    """a, b: links between nodes of different labels, as many as connect what is connected in each cell."""
+    floor = _floor(percent, m)
+
+    def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(groups))
+        found = _cell_links(cell, list(_pairs_of(cell, percent, m, floor)), size, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+    return cells.groupBy(group, "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def _cell_links(cell: pa.Table, pairs: list[tuple[int, np.ndarray]], size: int, percent: int) -> list[tuple[bytes, bytes]]:
+    label, node, texts = cell.column("label").to_pylist(), cell.column("node").to_pylist(), cell.column("text")
     above: dict[bytes, bytes] = {}
 
     def root(x: bytes) -> bytes:
@@ -222,21 +269,15 @@ def _cell_links(stray, node, label, n, sketches, texts, size, percent, m, floor)
         return x
 
     sets: dict[int, np.ndarray] = {}
-    hashes = _WordHashes()
+    hashes, links = _WordHashes(), []
 
     def own(i: int) -> np.ndarray:
         if i not in sets:
             sets[i] = shingles(texts[i].as_py(), size, hashes)
         return sets[i]
 
-    others, links = np.array([i for i, s in enumerate(stray) if not s], dtype=np.int64), []
-    for i in (k for k, s in enumerate(stray) if s):
-        j = others[np.array([label[k] != label[i] for k in others.tolist()], dtype=bool)] if len(others) else others
-        j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-        if not len(j):
-            continue
-        e = estimate((r[i] > r[j]).sum(1), (r[i] < r[j]).sum(1), m, np.full(len(j), n[i]), n[j])
-        for k in j[np.argsort(-e, kind="stable")][: int((e >= floor).sum())].tolist():
+    for i, others in pairs:
+        for k in others.tolist():
             a, b = root(label[i]), root(label[k])
             if a != b and linked(own(i), own(k), percent):
                 above[max(a, b)] = min(a, b)
@@ -272,29 +313,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """node, text of the classes in ``nodes``; a doc_id may be repeated with other texts, so the set decides."""
-        wanted = classes.join(nodes.distinct(), "node").select("node", "rep")
-        found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
+        wanted = persisted(classes.join(nodes.distinct(), "node").select("node", "rep"))
+        few = wanted.count() <= BROADCAST_IDS
+        found = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(wanted["rep"])).select("node", "text")
         return persisted(_same_set(found, shingle_words).groupBy("node").agg(F.min("text").alias("text")))
 
     in_pairs = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node")))
     edges = persisted(_confirmed(likely, texts_of(in_pairs), shingle_words, percent))
     labels = components(edges)
 
+    content = classes.select("node", "n", "registers")
     labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    buckets = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("largest")).where("parts > 1")
-    buckets = buckets.select("bucket", F.col("largest.label").alias("largest"), (F.floor((F.col("size") - F.col("largest.k")) / CELL) + 1).alias("stray_cells"), (F.floor(F.col("size") / CELL) + 1).alias("cells"))
-    open_ = persisted(labelled.join(buckets, "bucket").withColumn("h", F.xxhash64("node")))
-    if not open_.isEmpty():
-        stray = F.col("label") != F.col("largest")
-        as_other = open_.select("bucket", "node", "label", F.lit(False).alias("stray"), F.pmod("h", "cells").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("stray_cells") - 1)).alias("i"))
-        as_stray = open_.where(stray).select("bucket", "node", "label", F.lit(True).alias("stray"), F.pmod("h", "stray_cells").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("j"))
-        content = texts_of(open_.select("node")).join(classes.select("node", "n", "registers"), "node")
-        cells = as_other.unionByName(as_stray).join(content, "node")
-        more = persisted(_cells(cells, shingle_words, percent, m))
+    likely_labels = persisted(_likely_labels(_celled(labelled, "bucket").join(content, "node"), "bucket", percent, m).distinct())
+    if not likely_labels.isEmpty():
+        clusters = components(likely_labels).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+        of_label = classes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        clustered = persisted(of_label.join(clusters, "label"))
+        full = content.join(texts_of(clustered.select("node")), "node")
+        more = persisted(_links(_celled(clustered, "cluster").join(full, "node"), "cluster", shingle_words, percent, m))
         if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
+            labels = components(edges.union(more))
 
     grouped = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
