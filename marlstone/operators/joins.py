@@ -95,7 +95,7 @@ def near_hash_pairs(items: DataFrame, distance: int, id_col: str = "item_id", ha
         return near.select("a", "b", "hamming").distinct()
     blocks = 16
     left = own.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("i"), F.struct("id", "h").alias("l"))
-    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("i"), F.struct("id", "h").alias("r"))
+    right = own.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("i"), F.struct("id", "h").alias("r"))
     met = left.join(right, "i").where(F.col("l.id") < F.col("r.id")).withColumn("hamming", hamming(F.col("l.h"), F.col("r.h")))
     return met.where(F.col("hamming") <= distance).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "hamming")
 
@@ -129,6 +129,6 @@ def same_class_overlap(boxes: DataFrame, on: list[str]) -> DataFrame:
 
 def nearest_hash(items: DataFrame, others: DataFrame, bands: int = 16) -> DataFrame:
     """Least Hamming distance of each item to another row of ``others``: item_id, distance. In blocks, one row each out."""
-    left = items.select(F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).cast("long").alias("i"), "item_id", "hash")
+    left = items.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))).alias("i"), "item_id", "hash")
     right = others.select(F.pmod(F.xxhash64("item_id"), F.lit(bands)).alias("i"), F.col("item_id").alias("o"), F.col("hash").alias("oh"))
     return left.join(right, "i").where("item_id <> o").groupBy("item_id").agg(F.min(hamming(F.col("hash"), F.col("oh"))).alias("distance"))
