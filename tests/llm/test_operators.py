@@ -1,0 +1,313 @@
+"""Small fixtures with brute-force results for each corpus operator."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from marlstone.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, quality, toxicity, url_filter, warc
+
+WHITE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def rows(df):
+    return [r.asDict(recursive=True) for r in df.collect()]
+
+
+# 1 exact dedup
+
+
+def test_cuckoo_index_inserts_deletes_and_grows():
+    index, keys = exact_dedup.CuckooIndex(4), [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    assert [index.add(k) for k in keys] == list(range(3000)) and index.resizes > 0
+    assert [index.add(k) for k in keys[:50]] == list(range(50))
+    assert all(index.discard(k) for k in keys[::2]) and not index.discard(keys[0])
+    assert [index.find(k) for k in keys] == [-1 if i % 2 == 0 else i for i in range(3000)]
+    assert index.live == 1500
+
+
+def test_exact_dedup(docs, none):
+    got = rows(exact_dedup.exact_dedup(docs))
+    assert len(got) == 11
+    by = {r["doc_id"]: r for r in got}
+    assert by[2]["kept"] and by[1]["keep_id"] == 2 and by[1]["group_size"] == 2
+    assert by[5]["kept"] and by[3]["keep_id"] == 5 and by[4]["group_size"] == 3
+    assert by[6]["kept"] and by[7]["group_size"] == 3 and not by[7]["kept"]
+    assert by[8]["kept"] and by[None]["keep_id"] == 8 and not by[None]["kept"]
+    assert by[1]["text_sha256"] == hashlib.sha256(WHITE.sub("", "The quick brown fox jumps over the lazy dog near the river bank today").encode()).hexdigest()
+    assert rows(exact_dedup.exact_dedup(none)) == []
+
+
+def test_withdrawn_digests_leave_the_index(docs):
+    gone = docs.where("doc_id = 8").select(exact_dedup.normalised_digest().alias("digest"))
+    by = {r["doc_id"]: r for r in rows(exact_dedup.exact_dedup(docs, withdrawn=gone))}
+    assert by[8]["group_size"] == 0 and not by[8]["kept"] and by[8]["keep_id"] is None and by[2]["kept"]
+
+
+# 2 near duplicates
+
+
+def brute_groups(texts, size, percent):
+    def grams(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+    sets = {i: grams(t) for i, t in texts}
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base) if i < 40 else [f"w{rng.randrange(500)}" for _ in range(30)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        texts.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle_words=3, percent=85))}
+    assert got == brute_groups(texts, 3, 85)
+
+
+def test_near_duplicates_edges(docs, none):
+    got = rows(near_dedup.near_duplicates(docs, shingle_words=3, percent=85))
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 11 and by[1]["component_id"] == by[2]["component_id"] == 1 and by[9]["component_id"] == 9  # 11 of 13 shingles
+    assert by[3]["n_shingles"] == 0 and by[3]["component_id"] == 3 and by[3]["kept"]
+    assert by[7]["component_id"] == 6 and by[8]["component_id"] == by[None]["component_id"] == 8 and not by[None]["kept"]
+    assert rows(near_dedup.near_duplicates(none)) == []
+
+
+def test_sketches_merge_and_estimate():
+    import numpy as np
+
+    a, b = np.arange(1, 4001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(1001, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    m = 400
+    ra, rb, both = near_dedup.registers([a, b, np.unique(np.concatenate([a, b]))], m)
+    assert (near_dedup.merged(ra, rb) == both).all()
+    got = near_dedup.estimate(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), m, np.array([4000.0]), np.array([4000.0]))[0]
+    assert abs(got - 0.6) < 0.1
+
+
+# 3 BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path("word_bpe_49k.json")
+
+
+def test_bpe_matches_the_library(spark, docs, none, tokenizer):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(tokenizer)
+    texts = ["Hello, world's É't 12 don't", "<|startoftext|>a<|endoftext|> <|EndOfText|>", "ΑΣ. ﬁne e\u0301 İ", "x" * 3000, "ab'" * 500, "日本語 テキスト 👍🏽", "a\x00b\u2028c\x1c", None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rows(bpe.encode_decode(table, tokenizer, with_ids=True, with_text=True)):
+        want = reference.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert r["ids"] == want and r["n_tokens"] == len(want)
+        assert r["decoded"] == reference.decode(want, skip_special_tokens=False)
+        assert r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    assert len(rows(bpe.encode_decode(docs, tokenizer))) == 11 and rows(bpe.encode_decode(none, tokenizer)) == []
+
+
+def test_lexicon_is_a_minimal_perfect_index(tmp_path, tokenizer):
+    model = bpe.WordBpe(tokenizer)
+    words = sorted({w.encode() for w in "the then thin thing things sing sings a an ant ants été".split()})
+    parts = bpe.compile_lexicon(words, dict(zip(words, model.merge(words))))
+    bpe.write_lexicon(parts, str(tmp_path / "lexicon"))
+    lexicon = bpe.Lexicon(str(tmp_path / "lexicon"))
+    assert lexicon.ranks([*words, b"th", b"singsx", b""]).tolist() == [*range(len(words)), -1, -1, -1]
+    assert len(parts["final"]) < sum(map(len, words)) // 2
+
+
+# 4 quality, 9 toxicity
+
+
+def labelled(spark, kind):
+    rng = random.Random(1)
+    out = []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [rng.choice(["river", "stone", "light", "small", "green", "paper"]) for _ in range(40)]
+        if bad and kind == "quality":
+            words = [w.upper() + "!!" for w in words]
+        text = ". ".join(" ".join(words[j : j + 8]) for j in range(0, 40, 8))
+        if bad and kind == "toxic":
+            text += ". you are a " + rng.choice(["blarg", "blarging", "zorp"]) + " here"
+        out.append((i, text, int(bad) if kind == "toxic" else int(not bad)))
+    docs = spark.createDataFrame(out, f"doc_id long, text string, {kind} int")
+    return docs.select("doc_id", "text"), docs.select("doc_id", kind)
+
+
+def test_quality_learns_held_out_labels(spark, docs, none):
+    table, labels = labelled(spark, "quality")
+    want = {r["doc_id"]: r["quality"] for r in rows(labels)}
+    got = rows(quality.train_and_score(table, labels))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert all(r["predicted"] == want[r["doc_id"]] == int(r["score"] >= 0.3) for r in got if r["held_out"])
+    edge = rows(quality.train_and_score(docs, labels))
+    assert len(edge) == 11 and all(0 <= r["score"] <= 1 for r in edge)
+    assert rows(quality.train_and_score(none, labels)) == []
+    assert len(rows(quality.train_and_score(docs, labels.limit(0)))) == 11
+    passed = quality.score(docs, quality.fit(__import__("numpy").zeros((0, len(quality.FEATURES))), __import__("numpy").zeros(0)), out_col="__q")
+    assert passed.columns == [*docs.columns, "__q"] and {r["__q"] for r in rows(passed)} == {0.5}
+
+
+def test_toxicity_learns_and_locates(spark, docs, none):
+    table, labels = labelled(spark, "toxic")
+    want = {r["doc_id"]: r["toxic"] for r in rows(labels)}
+    got = rows(toxicity.train_and_score(table, labels))
+    texts = {r["doc_id"]: r["text"] for r in rows(table)}
+    for r in got:
+        if r["held_out"]:
+            assert zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["predicted"] == want[r["doc_id"]]
+        if r["predicted"]:
+            assert [re.search("blarg|zorp", texts[r["doc_id"]][s["start"] : s["end"]]) is not None for s in r["offending"]] == [True]
+    edge = rows(toxicity.train_and_score(docs, labels))
+    assert len(edge) == 11 and all(0 <= r["score"] <= 1 for r in edge)
+    assert rows(toxicity.train_and_score(none, labels)) == [] and len(rows(toxicity.train_and_score(docs, labels.limit(0)))) == 11
+    assert toxicity.score(docs, toxicity.BagModel({}, -9.0, 0.0)).count() == 11
+
+
+# 5 line dedup
+
+
+def test_line_dedup_against_counting(spark, docs, none):
+    texts = [(i, "\n".join(["Menu ", "shared" if i % 9 == 0 else f"only {i}", "", f"line {i % 3}"]), "h" if i < 40 else None) for i in range(60)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in rows(line_dedup.line_dedup(table, ratio=0.2))}
+    for i, text, host in texts:
+        pages = [t for _, t, h in texts if h == host]
+        bad = {x.strip() for x in text.split("\n") if x.strip() and (n := sum(x.strip() in [y.strip() for y in t.split("\n")] for t in pages)) > 0.2 * len(pages) and n >= 3}
+        kept = [x for x in text.split("\n") if x.strip() not in bad]
+        assert got[i]["text"] == "\n".join(kept) and got[i]["n_dropped"] == 4 - len(kept) and got[i]["n_lines"] == 4
+    edge = line_dedup.line_dedup(docs)
+    assert edge.count() == 11 and edge.columns[:-2] == docs.columns and rows(line_dedup.line_dedup(none)) == []
+
+
+# 6 URL filters
+
+
+def test_url_filter(spark):
+    urls = ["http://a.NET/x", "https://example.net/en/1?q#f", "http://example.com/de/", "http://example.com/de", "http://www.example.org/fr/?x", "http://net", "nothing", None, "", "x://net/://org/fr/", "http://notexample.net/en/", "http://example.net:80/en/", "http://a.NET/x"]
+    pages = spark.createDataFrame([(i % 12, u) for i, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "1 as host", "2 as rule")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+
+    def judge(url):
+        m = re.match(r"^(?:(?!://)[\s\S])*://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fit = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fit, default=(0, None, "allow"))
+        return host, path, best[1], best[2]
+
+    key = lambda r: tuple(map(str, r))
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(url_filter.url_filter(pages, rules))), key=key)
+    assert got == sorted(((i % 12, *judge(u)) for i, u in enumerate(urls)), key=key)
+    assert rows(url_filter.url_filter(pages.limit(0), rules)) == []
+    assert {r["verdict"] for r in rows(url_filter.url_filter(pages, rules.limit(0)))} == {"allow"}
+
+
+# 7 WARC
+
+
+def test_warc_round_trip_and_lookup(spark, tmp_path):
+    big = "é" * 800
+    data = [(1, "http://www.a.com/x", big), (2, "http://b.com/y z", big), (3, None, "small"), (4, "http://a.com/x", "small"), (5, "", None), (None, "http://c.com/", big), (2, "http://b.com/y z", big)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "1 as size", "2 as digest")
+    got = rows(warc.round_trip(pages))
+    assert len(got) == 7
+    for r in got:
+        html = (dict((a, c) for a, _, c in data)[r["page_id"]] or "").encode()
+        assert r["payload_bytes"] == len(html) and r["payload_digest"] == hashlib.sha1(html).hexdigest()
+        revisit = html == big.encode() and r["page_id"] != 2
+        assert r["record_type"] == ("revisit" if revisit else "response") and r["refers_to"] == (2 if revisit else None)
+    assert rows(warc.round_trip(pages.limit(0))) == []
+    folder = f"file://{tmp_path}/w"
+    index = warc.CaptureIndex(warc.write_warc(pages, folder), folder)
+    assert [x["payload"] for x in index.captures("com,a)/x")] == [b"small"] and index.captures("com,zzz)/") == []
+    assert len(index.captures("com,b)/y%20z")) == 2
+
+
+# 8 decontamination
+
+
+def brute_decontaminate(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, names = words(text), set(), set()
+    for name, item in items:
+        v = words(item)
+        n = min(10, len(v))
+        for j in range(len(v) - n + 1 if n else 0):
+            for i in range(len(w) - n + 1):
+                if w[i : i + n] == v[j : j + n]:
+                    hit |= set(range(i, i + n))
+                    names.add(str(name))
+    return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block_words", [10**6, 20])
+def test_decontamination_against_brute_force(spark, docs, none, block_words):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(6)] + ["É", "Zed"]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, some(rng.choice([3, 6, 9, 10, 14, 25]))) for i in range(15)] + [(2, "w1 w2"), (98, None), (99, "")]
+    texts = [(i, some(rng.randrange(1, 80)) + (" , " + items[i % 15][1] if i % 3 == 0 else "")) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in rows(decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), bench, block_words=block_words))}
+    for i, text in texts:
+        assert tuple(got[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == brute_decontaminate(text, items)
+    assert decontaminate.decontaminate(docs, bench, carry=docs.columns).select("row.*").columns == docs.columns
+    assert len(rows(decontaminate.decontaminate(docs, bench.limit(0)))) == 11 and rows(decontaminate.decontaminate(none, bench)) == []
+
+
+# 10 personal data
+
+
+def brute_base(text):
+    def luhn(digits):
+        parts = [int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(digits))]
+        return sum(v - 9 if v > 9 else v for v in parts) % 10 == 0
+
+    out = []
+    for rank, kind in enumerate(pii.KINDS[:4]):
+        for m in re.finditer(pii.BASE_FORMS[kind], text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 14 <= len(d) <= 19 and luhn(d) or kind == "phone" and 10 <= len(d) <= 15:
+                out.append((m.start(), rank, m.end()))
+    return ",".join(f"{pii.KINDS[r]}:{a}:{b}" for a, r, b in sorted(out))
+
+
+def test_pii_base_spans_against_plain_patterns(spark, docs, none):
+    rng = random.Random(7)
+    texts = ["a@b.c.d..e@f.g_h@i.j-", "😀x@y.zz 1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.4", "4111 1111-1111 1111  4111111111111111 5", "+1 (743) 555-3824 ++123456789012", "1" * 3000, "a@b" + ".c" * 3000, "(" * 2000, "x" * 9000, "4111-1111-1111-1111--2222", None, ""]
+    texts += ["".join(rng.choice("a1.@+- 4()") for _ in range(60)) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.Trees(0.0, [], {})
+    for r in rows(pii.find_pii(table, model=model, with_text=True)):
+        want = brute_base(texts[r["doc_id"]] or "")
+        assert r["spans"] == want and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    edge = rows(pii.find_pii(docs))
+    assert len(edge) == 11 and rows(pii.find_pii(none)) == []
+
+
+def test_pii_trees_add_assigned_secrets(spark):
+    rng = random.Random(9)
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [(i, f'some words token = "{token()}" and more' if i % 2 else "plainlongwordwithoutanydigitsinside stays here") for i in range(400)]
+    got = rows(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"), with_text=True))
+    assert all((r["spans"] == "secret:20:60") == bool(r["doc_id"] % 2) for r in got)
+    assert all(r["redacted"] == 'some words token = "[SECRET]" and more' for r in got if r["doc_id"] % 2)
