@@ -1 +1,47 @@
-"""Queries follow."""
+"""Health events: violations, stalls, windows, sequential acceptance."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from marlstone.plans.fixtures import table, vectors
+from marlstone.plans.registry import query
+from marlstone.storage import ensure_checkpoint_dir
+from marlstone.streaming import health
+
+LIMITS = {"too_hot": ("max", 80.0), "too_cold": ("min", 2.0), "hot": ("max", 60.0)}
+
+
+@query("SELECT event_id, concat_ws(',', CASE WHEN value > 80 THEN 'too_hot' END, CASE WHEN value < 2 THEN 'too_cold' END, CASE WHEN value > 60 THEN 'hot' END) AS violations FROM events WHERE value > 60 OR value < 2")
+def health_violations(spark, sf_dir):
+    """Events that break a limit, with all the limits they break."""
+    out = health.checked(table(spark, sf_dir, "events"), LIMITS).where(F.size("violations") > 0)
+    return out.select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""
+WITH b AS (SELECT user_id, ts, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events),
+s AS (SELECT user_id, ts AS since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS until FROM b WHERE best IS NULL OR value > best)
+SELECT user_id, since, until FROM s WHERE floor(epoch(until)) - floor(epoch(since)) > 86400""")
+def progress_stalls(spark, sf_dir):
+    """More than a day without a new best."""
+    return health.stalls(table(spark, sf_dir, "events"), "user_id", "ts", "value", 86400)
+
+
+@query("SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, count(*) AS n, count(*) FILTER (WHERE value > 60 OR value < 2) AS n_bad FROM events GROUP BY 1")
+def streamed_violation_windows(spark, sf_dir):
+    """Tumbling windows over a stream of the events table, run to its end."""
+    source = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"windows_{uuid.uuid4().hex}"
+    out = health.run_once(health.windowed_violations(stream, LIMITS, window="1 day"), name, f"{ensure_checkpoint_dir(spark)}/{name}", "complete")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query()
+def sequential_acceptance(spark, sf_dir):
+    """Items taken in order unless near an accepted one; pools by label."""
+    v = vectors(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "label"), "item_id")
+    return health.accepted_in_order(v, "label", "item_id", "hash", 24)
