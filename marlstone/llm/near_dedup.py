@@ -234,14 +234,28 @@ def _pairs_of(cell: pa.Table, percent: int, m: int, floor: float) -> Iterator[tu
                 yield i, j
 
 
+def _root(above: dict[bytes, bytes], x: bytes) -> bytes:
+    """The label that stands for ``x``; labels on the way are pointed nearer to it."""
+    while (y := above.get(x, x)) != x:
+        above[x] = above.get(y, y)
+        x = above[x]
+    return x
+
+
 def _likely_labels(cells: DataFrame, group: str, percent: int, m: int) -> DataFrame:
-    """a, b: pairs of labels with a likely link between them."""
+    """a, b: pairs of labels with a likely link between them, as many as connect what is so connected in each cell."""
     floor = _floor(percent, m)
 
     def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = pa.Table.from_batches(list(groups))
-        label = cell.column("label").to_pylist()
-        found = {(label[i], label[k]) for i, j in _pairs_of(cell, percent, m, floor) for k in j.tolist()}
+        label, above = cell.column("label").to_pylist(), {}
+        found = []
+        for i, j in _pairs_of(cell, percent, m, floor):
+            for k in j.tolist():
+                a, b = _root(above, label[i]), _root(above, label[k])
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    found.append((label[i], label[k]))
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     return cells.groupBy(group, "i", "j").applyInArrow(run, "a binary, b binary")
@@ -262,12 +276,6 @@ def _links(cells: DataFrame, group: str, size: int, percent: int, m: int) -> Dat
 def _cell_links(cell: pa.Table, pairs: list[tuple[int, np.ndarray]], size: int, percent: int) -> list[tuple[bytes, bytes]]:
     label, node, texts = cell.column("label").to_pylist(), cell.column("node").to_pylist(), cell.column("text")
     above: dict[bytes, bytes] = {}
-
-    def root(x: bytes) -> bytes:
-        while (y := above.get(x, x)) != x:
-            x = y
-        return x
-
     sets: dict[int, np.ndarray] = {}
     hashes, links = _WordHashes(), []
 
@@ -278,7 +286,7 @@ def _cell_links(cell: pa.Table, pairs: list[tuple[int, np.ndarray]], size: int,
 
     for i, others in pairs:
         for k in others.tolist():
-            a, b = root(label[i]), root(label[k])
+            a, b = _root(above, label[i]), _root(above, label[k])
             if a != b and linked(own(i), own(k), percent):
                 above[max(a, b)] = min(a, b)
                 links.append((node[i], node[k]))
