@@ -12,9 +12,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label for each node of ``edges`` (a, b); all of a component share a label, its smallest node.
 
     In each round every node follows the smallest node beside it twice, and the edges left between different choices are
-    the next round's. At the end the label of each component becomes its smallest node. No component lies in one task.
+    the next round's. Nodes are compared by hash, so that a long chain of growing ids shrinks by a share of it in each
+    round. At the end the label of each component becomes its smallest node. No component lies in one task.
     """
-    edges = persisted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    keyed = edges.where("a <> b").select(*[F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c) for c in ("a", "b")])
+    edges = persisted(keyed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -29,8 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         right = step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
         edges = persisted(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
-            nodes = persisted(nodes)
-            least = nodes.groupBy("label").agg(F.least(F.min("node"), F.col("label")).alias("least"))
+            nodes = persisted(nodes.select(F.col("node.id").alias("node"), F.col("label.id").alias("label")))
+            least = nodes.groupBy("label").agg(F.min("node").alias("least"))
             return nodes.join(least, "label").select("node", F.col("least").alias("label"))
 
 
