@@ -50,7 +50,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -133,12 +133,12 @@ def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             start = 0
             while start < len(texts):
                 sets, held, end = [], 0, start
                 while end < len(texts) and held < CHUNK_SHINGLES:
-                    sets.append(shingles(texts[end], size, hashes))
+                    sets.append(shingles(texts[end].as_py(), size, hashes))
                     held += len(sets[-1])
                     end += 1
                 found = iter(registers([s for s in sets if len(s)], m))

@@ -192,8 +192,7 @@ def score(docs: DataFrame, model: AdditiveModel, *, text_col: str = "text", out_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            x = np.array([features(t) for t in texts]).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py()) for t in batch.column(1)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], ["row", "score"])
 
     return rows.mapInArrow(run, ddl + ", score double").select("row.*", F.col("score").alias(out_col))
