@@ -86,16 +86,22 @@ def test_greedy_matching_against_a_loop(spark):
     assert got == plain_greedy(dets, truths, 0.3)
 
 
-@pytest.mark.parametrize("hits,truths,want", [([1], 2, 51 / 101), ([1, 1], 3, 67 / 101), ([1], 3, 34 / 101), ([1, 1, 1], 3, 1.0), ([0, 1], 1, 0.5), ([], 2, 0.0)])
-def test_average_precision_by_hand(spark, hits, truths, want):
-    t = spark.createDataFrame([(i, i, "a", 0, 0, 20, 20) for i in range(truths)], f"ann_id long, image_id long, cls string, {BOX}")
-    rows, n = [], 0
-    for k, hit in enumerate(hits):
-        rows.append((0, k, n if hit else 500, "a", 0, 0, 20, 20, 1.0 - k / 10))
-        n += hit
-    d = spark.createDataFrame(rows or [(0, 0, 500, "b", 0, 0, 20, 20, 0.5)], f"arm int, det_id long, image_id long, cls string, {BOX}, score double")
-    got = {r.bucket: r.ap for r in coco.average_precision(d, t).where("cls = 'a'").collect()}
-    assert got["all"] == pytest.approx(want, abs=1e-6) and got["small"] == got["all"] and got["large"] == -1.0
+def test_average_precision_by_hand(spark):
+    """Each case is a class: hits of its detections by score, number of truths, expected AP."""
+    cases = [([1], 2, 51 / 101), ([1, 1], 3, 67 / 101), ([1], 3, 34 / 101), ([1, 1, 1], 3, 1.0), ([0, 1], 1, 0.5), ([], 2, 0.0)]
+    truths, dets = [], []
+    for c, (hits, n_truth, _) in enumerate(cases):
+        truths += [(100 * c + i, i, f"c{c}", 0, 0, 20, 20) for i in range(n_truth)]
+        n = 0
+        for k, hit in enumerate(hits):
+            dets.append((0, 100 * c + k, n if hit else 500, f"c{c}", 0, 0, 20, 20, 1.0 - k / 10))
+            n += hit
+    t = spark.createDataFrame(truths, f"ann_id long, image_id long, cls string, {BOX}")
+    d = spark.createDataFrame(dets, f"arm int, det_id long, image_id long, cls string, {BOX}, score double")
+    got = {(r.cls, r.bucket): r.ap for r in coco.average_precision(d, t).collect()}
+    for c, (_, _, want) in enumerate(cases):
+        assert got[f"c{c}", "all"] == pytest.approx(want, abs=1e-6)
+        assert got[f"c{c}", "small"] == got[f"c{c}", "all"] and got[f"c{c}", "large"] == -1.0
 
 
 def test_area_ranges_ignore_truths_and_detections(spark):
