@@ -22,17 +22,14 @@ def candidates(det: DataFrame, truth: DataFrame, on: list[str], carry: list[str]
     return pairs.select(*on, *[F.col("l_" + c).alias(c) for c in carry or []], F.col("l_det_id").alias("det_id"), F.col("l_score").alias("score"), F.col("r_ann_id").alias("ann_id"), "iou")
 
 
-def greedy(pairs: DataFrame, group: list[str], threshold: float, *, last_of_equal: bool = False, fall_through: bool = False) -> DataFrame:
+def greedy(pairs: DataFrame, group: list[str], threshold: float, *, last_of_equal: bool = False) -> DataFrame:
     """Edges of a greedy matching: the group, det_id, ann_id, iou.
 
     Detections go by (score desc, det_id). Each looks at its free candidates by IoU, of equal ones the first truth (or
     the last, with ``last_of_equal``); the best is taken if its IoU reaches ``threshold``. A truth is free until taken.
-    ``fall_through`` makes no difference to the result, since candidates are in order of IoU; it only stops early.
     """
     tie = -F.col("ann_id") if last_of_equal else F.col("ann_id")
     option = F.struct((-F.col("iou")).alias("o"), tie.alias("t"), "ann_id", "iou")
-    if fall_through:
-        pairs = pairs.where(F.col("iou") >= threshold)
     per_det = pairs.groupBy(*group, "det_id", "score").agg(F.array_sort(F.collect_list(option)).alias("options"))
     per_group = per_det.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", "options"))).alias("dets"))
 
