@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate of their source; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, low_ratios=line_dedup.LOW_RATIOS)
     return out.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

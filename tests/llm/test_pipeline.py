@@ -39,3 +39,12 @@ def test_run_is_the_stages_in_order(spark):
     for i, text in texts.items():
         ids = reference.encode(text, add_special_tokens=False).ids
         assert got[i]["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+
+
+def test_line_stage_takes_passages_in_few_pages_but_not_copies(spark):
+    long, short = "a passage that stands in a few pages of the source and in no other place of it", "Yes indeed."
+    texts = [f"start {i}\n" + (f"{long}\n" if i % 50 == 0 else "") + (f"{short}\n" if i % 100 == 1 else "") + f"end {i}" for i in range(400)]
+    texts += ["one page\nwhose text was copied whole, so that each of its lines is in several pages\nits end"] * 8
+    docs = spark.createDataFrame([(i, t, "h", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in cp.line_stage(spark, docs, SF).collect()}
+    assert all(got[i] == t.replace(f"{long}\n", "") for i, t in enumerate(texts))
