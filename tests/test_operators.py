@@ -172,3 +172,49 @@ def test_sequential_acceptance(spark):
     items = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (0, 3, 7), (0, 4, 3), (1, 1, 1)], "pool int, n int, hash long")
     got = {(r.pool, r.n): r.accepted for r in health.accepted_in_order(items, "pool", "n", "hash", 1).collect()}
     assert got == {(0, 1): True, (0, 2): False, (0, 3): True, (0, 4): False, (1, 1): True}
+
+
+def test_measured_rules(spark):
+    kind = "id:long,cls:string,x:int,y:int,w:int,h:int,kept:boolean,visible:double,coverage:double,luma:double,kind:string,mask_ok:boolean,retries_exhausted:boolean,behind:boolean,poke:double,seam:double,annotation_iou:double"
+    base = (True, 1.0, 0.5, 99.0)
+    person = (1, "person", 0, 0, 100, 300, *base, "pasted", True, False, False, 0.0, 1.0, 0.0)
+    head = lambda y=0, w=40, coverage=0.5, kind="pasted", ok=True, out=False, behind=False, poke=0.1, seam=1.0, iou=0.5: (2, "head", 5, y, w, 50, True, 1.0, coverage, 99.0, kind, ok, out, behind, poke, seam, iou)
+    wanted = [
+        (head(), []), (head(coverage=0.96), ["BAD_MASK_COVERAGE"]), (head(ok=False), ["SAM2_MASK_REJECTED"]), (head(ok=False, kind="existing"), []), (head(out=True), ["PLACEMENT_RETRIES_EXHAUSTED"]),
+        (head(y=136), ["BAD_SIZE_RATIO"]), (head(w=12), ["BAD_SIZE_RATIO"]), (head(behind=True), ["POKES_THROUGH"]), (head(behind=True, poke=0.21), []), (head(seam=5.6), ["SEAM_ARTIFACT"]),
+        (head(kind="hard_negative"), ["HARD_NEGATIVE_OVERLAPS_ANNOTATION"]), (head(kind="hard_negative", iou=0.02, w=12, ok=False), []), (head(coverage=None, kind=None, ok=None, out=None, behind=None, poke=None, seam=None, iou=None), []),
+    ]
+    df = spark.createDataFrame([(n, [person, i], 416, 416) for n, (i, _) in enumerate(wanted)], f"n int, instances array<struct<{kind}>>, width int, height int")
+    assert {r.n: r.reject_reasons for r in rules.judged_measured(df).collect()} == {n: w for n, (_, w) in enumerate(wanted)}
+    plain = df.withColumn("instances", F.transform("instances", lambda i: i.dropFields(*rules.MEASURED_FIELDS)))
+    assert {r.n: r.reject_reasons for r in rules.judged_measured(plain).where("n in (0, 6, 9)").collect()} == {0: [], 6: ["BAD_SIZE_RATIO"], 9: []}
+
+
+def test_mask_gate_and_unit_reasons(spark):
+    names = ["iou_score", "object_score_logit", "outside_box_ratio", "second_component_ratio", "hole_fill_ratio", "mask_to_box_coverage", "solidity", "mask_area_px", "edge_touch_top", "edge_touch_side"]
+    gate = lambda cls, *values: rules.mask_failures(F.struct(*[F.lit(x).alias(n) for n, x in zip(names, values)]), F.lit(cls))
+    bad = (0.8, 19.0, 0.2, 0.3, 1.3, 0.9, 0.1, 200, 0.9, 0.9)
+    got = one(spark, gate("head", 0.82, 19.5, 0.1, 0.2, 1.25, 0.8307, 0.7508, 250, 0.5, 0.9), gate("head", *bad), gate("person", *bad))
+    assert got.c0 == [] and got.c1 == names[:-1] and got.c2 == names[:-2] + names[-1:]
+    st = lambda **k: F.struct(*[F.lit(x).alias(n) for n, x in k.items()])
+    good = dict(cls="person", split="train", preferred=True, truncated=False, difficult=False, x=10, y=100, w=100, h=200, touch_top=0.1, touch_side=0.1)
+    worst = dict(cls="head", split="val", preferred=False, truncated=False, difficult=True, x=10, y=0, w=100, h=70, touch_top=0.2, touch_side=0.2)
+    got = one(spark, rules.unit_reasons(st(**good), st(x=20, y=110, w=60, h=50), F.lit(400)), rules.unit_reasons(st(**worst), st(x=-90, y=60, w=90, h=20), F.lit(400)), rules.unit_reasons(st(**good | {"preferred": False}), st(x=20, y=110, w=60, h=50), F.lit(400), {"preferred": False}))
+    assert got.c0 == [] and got.c2 == [] and got.c1 == ["NOT_PERSON", "NOT_TRAIN", "NOT_PREFERRED_TIER", "VOC_FLAGGED", "PERSON_TOO_SMALL", "SOURCE_PERSON_TOO_HIGH", "PERSON_TOO_HORIZONTAL", "HEAD_TOO_LOW", "HEAD_TOO_WIDE", "INVALID_HEAD_BOX", "MASK_TOUCHES_TOP", "MASK_TOUCHES_SIDE"]
+
+
+def test_auc_interval_against_a_loop(spark):
+    rng = random.Random(3)
+    data = [(i, int(i < 4), rng.randrange(5) / 4) for i in range(9)]
+    df = spark.createDataFrame(data, "id long, y int, s double")
+    counts = {r.id: r.k for r in df.select("id", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: bootstrap.poisson_count(bootstrap._uniform(7, i, "id"))).alias("k")).collect()}
+
+    def auc(weight):
+        cells = [(weight(a) * weight(b), (s > u) + (s == u) / 2) for a, y, s in data if y for b, z, u in data if not z]
+        return sum(k * v for k, v in cells) / sum(k for k, _ in cells) if any(k for k, _ in cells) else None
+
+    each = sorted(v for d in range(60) if (v := auc(lambda i: counts[i][d])) is not None)
+    at = lambda q: (lambda p: each[int(p)] + (p - int(p)) * (each[min(int(p) + 1, len(each) - 1)] - each[int(p)]))(q * (len(each) - 1))
+    r = bootstrap.auc_interval(df, "id", "y", "s", draws=60, seed=7).first()
+    assert r.value == pytest.approx(auc(lambda i: 1)) and r.n_draws == len(each) and r.n_undefined == 60 - len(each)
+    assert r.ci_low == pytest.approx(at(0.025)) and r.ci_high == pytest.approx(at(0.975))
