@@ -96,4 +96,4 @@ def distinct_object_sums(spark, sf_dir):
 def bootstrap_interval(spark, sf_dir):
     """Percentile interval of a rate over resampled images; draws are undefined where the denominator is 0."""
     per_image = detections(spark, sf_dir).where("arm = 0").groupBy("image_id").agg(F.count_if(F.col("score") >= 0.5).alias("part"), F.count("*").alias("whole"))
-    return bootstrap.rate_interval(per_image, "image_id", "part", "whole", draws=200, seed=1337)
+    return bootstrap.rate_interval(per_image, "image_id", "part", "whole", seed=1337)

@@ -218,3 +218,10 @@ def test_auc_interval_against_a_loop(spark):
     r = bootstrap.auc_interval(df, "id", "y", "s", draws=60, seed=7).first()
     assert r.value == pytest.approx(auc(lambda i: 1)) and r.n_draws == len(each) and r.n_undefined == 60 - len(each)
     assert r.ci_low == pytest.approx(at(0.025)) and r.ci_high == pytest.approx(at(0.975))
+
+
+def test_registered_interval_has_the_default_draws(spark):
+    from marlstone.plans import registry
+
+    r = registry.queries()["bootstrap_interval"](spark, "/root/testdata/sf0.001").first()
+    assert r.n_draws + r.n_undefined == 1000 and r.ci_low <= r.value <= r.ci_high
