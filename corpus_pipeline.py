@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from marlstone.llm.common import crc_mod, shared_dir, table
+from marlstone.llm.common import crc_mod, shared_dir, table, whole_text
 from marlstone.llm.registry import tokenizer_file
 
 
@@ -32,10 +32,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8): the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays. Rows without a doc_id can't be told apart and stay.
+    Rows that repeat a doc_id are told apart by text: with equal texts one row stays, with others each is a document of its
+    own. Rows without a doc_id can't be told apart and stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    told = docs.join(kept, docs["doc_id"] == kept["__kept"]).drop("__kept").dropDuplicates(["doc_id"])
+    row_id = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id"), F.unhex(F.md5(whole_text())).alias("digest")))
+    kept = near_dedup.near_duplicates(docs.select(row_id.alias("id"), "text"), id_col="id").where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    told = docs.withColumn("__id", row_id).join(kept, F.col("__id") == F.col("__kept")).drop("__kept").dropDuplicates(["__id"]).drop("__id")
     return told.unionByName(docs.where("doc_id is null"))
 
 

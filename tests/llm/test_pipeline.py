@@ -48,3 +48,12 @@ def test_line_stage_takes_passages_in_few_pages_but_not_copies(spark):
     docs = spark.createDataFrame([(i, t, "h", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in cp.line_stage(spark, docs, SF).collect()}
     assert all(got[i] == t.replace(f"{long}\n", "") for i, t in enumerate(texts))
+
+
+def test_near_stage_tells_repeated_ids_apart_by_text(spark):
+    page = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, page("a")), (2, page("a") + " end"), (2, page("b")), (2, page("c")), (2, page("c") + " end"), (2, page("c")), (3, page("b")), (None, page("a")), (None, page("d"))]
+    got = cp.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert got.columns == ["doc_id", "text"]
+    kept = [(r.doc_id, r.text[:2]) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a0"), (2, "b0"), (2, "c0"), (None, "a0"), (None, "d0")], key=str)
