@@ -6,7 +6,7 @@ nor starts anew at each character of a run; they find what the plain forms in BA
 
 Generators of high recall propose more spans, which may overlap. Trees boosted on a bounded sample of documents score
 them by format and context; labels there are distant ones: a proposal that meets a base match is personal data, and so is
-a long hexadecimal value that is assigned to something. Each kind's threshold is calibrated on held-out proposals. A
+what has a cue of its kind (assigned secrets, obfuscated addresses, numbers after a word for telephones). Each kind's threshold is calibrated on held-out proposals. A
 chosen span that meets no base span is added; of chosen ones that overlap, the one with the highest score.
 """
 
@@ -100,6 +100,17 @@ def _with_base(docs: DataFrame) -> DataFrame:
     return found.withColumn("__base", F.array_sort(F.concat(*spans))).drop(*(f"__{k}" for k in BASE))
 
 
+def _cue(rank: int, hit: Column, before: Column, k: Column) -> Column:
+    """A distant label by form and context: an assigned long hexadecimal value or an assigned mixed one after a word for
+    credentials; an address with (at) or (dot); 7 to 15 digits after a word for telephones."""
+    if KINDS[rank] == "email":
+        return hit.rlike(r"[(\[](?:at|dot)[)\]]")
+    if KINDS[rank] == "phone":
+        return k.between(7, 15) & before.rlike(r"(?i)\b(?:tel|phone|call|fax|mobile)[a-z]*[.:]?\s*$")
+    mixed = hit.rlike("[A-Za-z]") & hit.rlike("[0-9]") & (F.size(F.array_distinct(F.split(hit, ""))) >= 10) & before.rlike("(?i)(?:token|key|secret|passw|auth|bearer)")
+    return (hit.rlike("^[0-9a-fA-F]{32,}$") | mixed) & before.rlike(r"[=:]\s*[\"']?$")
+
+
 def _proposal(x: Column, rank: int, base: Column) -> Column:
     """A proposal with its features as numbers."""
     hit, before = x["hit"], x["before"]
@@ -109,7 +120,7 @@ def _proposal(x: Column, rank: int, base: Column) -> Column:
     return F.struct(
         x["start"].alias("start"), x["stop"].alias("stop"), F.lit(rank).alias("rank"),
         F.exists(base, lambda b: (b["start"] < x["stop"]) & (b["stop"] > x["start"])).alias("met"),
-        (hit.rlike("^[0-9a-fA-F]{32,}$") & before.rlike(r"[=:]\s*[\"']?$")).alias("assigned"),
+        _cue(rank, hit, before, k).alias("cue"),
         F.array(*[number(c) for c in (
             n, k, k / n, F.size(F.array_distinct(F.split(hit, ""))), F.length(F.regexp_replace(hit, "[A-Za-z0-9]", "")), F.length(F.regexp_replace(hit, "[^A-Z]", "")) / n,
             hit.rlike("^[0-9a-fA-F]+$"), F.when(k.between(13, 19), luhn(digits)).otherwise(False), before.rlike(r"[=:]\s*[\"']?$"),
@@ -202,7 +213,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     own = docs.select(F.col(id_col).alias("__key"), whole_text(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id")).drop("__id")
     rows = _with_proposals(_with_base(own)).select("__key", F.explode("__proposals").alias("p")).select("__key", "p.*")
     found = rows.orderBy(F.xxhash64("__key", "start", "rank"), "__key", "start", "rank").limit(sample_proposals).collect()
-    y = np.array([r["met"] or (r["rank"] == KINDS.index("secret") and r["assigned"]) for r in found], dtype=float)
+    y = np.array([r["met"] or r["cue"] for r in found], dtype=float)
     x = np.array([r["x"] for r in found], dtype=float)
     return fit(x.reshape(len(found), -1) if len(found) else np.zeros((0, 13)), y, np.array([r["rank"] for r in found], dtype=int))
 

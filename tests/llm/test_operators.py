@@ -311,3 +311,14 @@ def test_pii_trees_add_assigned_secrets(spark):
     got = rows(pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string"), with_text=True))
     assert all((r["spans"] == "secret:20:60") == bool(r["doc_id"] % 2) for r in got)
     assert all(r["redacted"] == 'some words token = "[SECRET]" and more' for r in got if r["doc_id"] % 2)
+
+
+def test_pii_trees_add_each_kind_with_cues(spark):
+    rng = random.Random(11)
+    some = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    forms = [
+        ("secret", lambda: f'the text says api_key = "{some(40, "ghjkmnpqrstuvwxyzGHJKMNPQRST0123456789")}" here'), ("email", lambda: f"mail {some(6, 'abcdefgh')} (at) {some(5, 'abcdefgh')} (dot) com today"),
+        ("phone", lambda: f"please call 0{rng.randrange(20, 99)} {rng.randrange(1000000, 9999999)} today"), ("", lambda: "plainlongwordwithoutanydigitsinside stays here"),
+    ]
+    table = spark.createDataFrame([(i, forms[i % 4][1]()) for i in range(400)], "doc_id long, text string")
+    assert all(r["spans"].partition(":")[0] == forms[r["doc_id"] % 4][0] for r in rows(pii.find_pii(table)))
