@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.storage import persisted
+
 #: Closed ranges: an area on a boundary is in two of them.
 AREA_RANGES = [("all", 0, 10**8), ("small", 0, 1024), ("medium", 1024, 9216), ("large", 9216, 10**8)]
 
@@ -49,21 +51,29 @@ def average_ranks(df: DataFrame, value: str, out: str, *partition: str) -> DataF
     return df.join(ranks, [*partition, value])
 
 
-def running_sum(df: DataFrame, value: str, order: list[str], partition: list[str]) -> DataFrame:
-    """``df`` with ``__before``: the sum of ``value`` over the rows before each, in a total order, within a group.
+def running_sums(df: DataFrame, values: dict[str, str], order: list[str], partition: list[str]) -> DataFrame:
+    """``df`` with a sum for each of ``values`` (column -> new column): over the rows before each, in a total order, within a group.
 
-    Rows are range-partitioned by group and order; each part adds its own running sum to the total of the parts before
-    it, so that no part has to hold a whole group.
+    Rows are range-partitioned by group and order; each part adds its own running sums to the totals of the parts before
+    it, so that no part has to hold a whole group. Which part a row is in depends on the sample that the ranges are cut by,
+    so rows and parts are written once, and both totals and rows come from there. Null groups and null keys are ordered
+    first, as in any sort; a null value adds nothing.
     """
     keys = [*partition, *order]
+    own = Window.partitionBy("__part", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     parts = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
-    totals = parts.groupBy("__part", *partition).agg(F.sum(value).alias("__sum"))
+    within = persisted(parts.withColumns({out: F.coalesce(F.sum(value).over(own), F.lit(0)) for value, out in values.items()}))
+    totals = within.groupBy("__part", *partition).agg(*[F.sum(value).alias(f"__sum_{out}") for value, out in values.items()])
     before = Window.partitionBy(*partition).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__part", *partition, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    own = Window.partitionBy("__part", *partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = parts.withColumn("__own", F.coalesce(F.sum(value).over(own), F.lit(0)))
     same = ["__part", *partition]
-    return within.join(offsets, same).withColumn("__before", F.col("__own") + F.col("__offset")).drop("__own", "__offset", "__part")
+    offsets = totals.select(*[F.col(c).alias(f"__of_{c}") for c in same], *[F.coalesce(F.sum(f"__sum_{out}").over(before), F.lit(0)).alias(f"__offset_{out}") for out in values.values()])
+    met = within.join(offsets, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in same], "left")
+    return met.select(*df.columns, *[(F.col(out) + F.col(f"__offset_{out}")).alias(out) for out in values.values()])
+
+
+def running_sum(df: DataFrame, value: str, order: list[str], partition: list[str]) -> DataFrame:
+    """``df`` with ``__before``: the running sum of one column, see ``running_sums``."""
+    return running_sums(df, {value: "__before"}, order, partition)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, *group: str) -> DataFrame:

@@ -83,11 +83,10 @@ def sweep(det: DataFrame, truth: DataFrame, edges: DataFrame) -> DataFrame:
     Detections are matched in order of score, so the matches over a threshold are those of a run with only the detections
     over it: one matching serves all thresholds, and cumulative counts do the rest.
     """
-    from marlstone.operators.aggregates import running_sum
+    from marlstone.operators.aggregates import running_sums
 
     marked = det.join(edges.select("det_id", F.lit(1).alias("hit")), "det_id", "left")
     by_score = marked.groupBy("score").agg(F.count("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fp")).withColumn("__order", -F.col("score"))
-    tp = running_sum(by_score, "tp", ["__order"], []).withColumn("tp", F.col("__before") + F.col("tp")).drop("__before")
-    fp = running_sum(tp, "fp", ["__order"], []).withColumn("fp", F.col("__before") + F.col("fp"))
+    summed = running_sums(by_score, {"tp": "__tp", "fp": "__fp"}, ["__order"], [])
     n = truth.agg(F.count("*").alias("n_truth"))
-    return fp.crossJoin(F.broadcast(n)).select(F.col("score").alias("threshold"), "tp", "fp", "n_truth")
+    return summed.crossJoin(F.broadcast(n)).select(F.col("score").alias("threshold"), (F.col("__tp") + F.col("tp")).alias("tp"), (F.col("__fp") + F.col("fp")).alias("fp"), "n_truth")

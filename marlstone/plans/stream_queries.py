@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.plans.fixtures import table, vectors
 from marlstone.plans.registry import query
-from marlstone.storage import ensure_checkpoint_dir
+from marlstone.storage import shared_dir
 from marlstone.streaming import health
 
 LIMITS = {"too_hot": ("max", 80.0), "too_cold": ("min", 2.0), "hot": ("max", 60.0)}
@@ -36,7 +36,7 @@ def streamed_violation_windows(spark, sf_dir):
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"windows_{uuid.uuid4().hex}"
-    out = health.run_once(health.windowed_violations(stream, LIMITS, window="1 day"), name, f"{ensure_checkpoint_dir(spark)}/{name}", "complete")
+    out = health.run_once(health.windowed_violations(stream, LIMITS, window="1 day"), name, f"{shared_dir(spark)}/{name}", "complete")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

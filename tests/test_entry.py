@@ -9,17 +9,44 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def con():
+#: Queries that rest on ranks, running sums or matching: run over several partitions too, adaptive execution on and off.
+PARTITIONED = "quartile_summary quartile_strata roc_auc spearman lowest_decile operating_sweep greedy_match average_precision z_ranks".split()
+
+
+def connected(folder):
     c = duckdb.connect()
     for t in TABLES:
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return c
 
 
+@pytest.fixture(scope="module")
+def con():
+    return connected(SF)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
-    got = registry.queries()[name](spark, SF)
+    against_sql(spark, con, name, SF)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("name", PARTITIONED)
+def test_query_over_many_partitions(spark, name, adaptive):
+    folder = "/root/testdata/sf0.01"
+    small = {"spark.sql.adaptive.enabled": adaptive, "spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    held = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        against_sql(spark, connected(folder), name, folder)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def against_sql(spark, con, name, folder):
+    got = registry.queries()[name](spark, folder)
     sql = registry.oracle_sql().get(name)
     if sql is None:
         assert got.count() >= 1
