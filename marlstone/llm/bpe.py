@@ -13,7 +13,6 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -26,14 +25,20 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import persisted
+
 END = "</w>"
 LEXICON_WORDS = 65_536
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 #: Distinct words after which a task hands its counts on.
 FLUSH_WORDS = 300_000
+#: Steps of the histogram of counts for each doubling.
+STEPS = 16
 #: Longer pieces are merged one by one with a heap.
 LONG_PIECE = 64
 NO_RANK = np.iinfo(np.int32).max
+#: The split that tokenizer files of this make have; ``\\s`` there is white space as Unicode has it.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _LETTERS = bytes(c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -45,15 +50,29 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in set(own) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def _refuse_others(path: str, data: dict) -> None:
+    """ValueError unless everything in the file that decides ids or decoding is as this module has it."""
+    model, flags = data["model"], ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+    normalizers, splits = (data.get("normalizer") or {}).get("normalizers", []), (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    own = {
+        "model": model["type"] == "BPE" and model.get("end_of_word_suffix") == END and not any(model.get(f) for f in flags),
+        "normalizer": [n["type"] for n in normalizers] == ["NFC", "Replace", "Lowercase"] and (normalizers[1]["pattern"], normalizers[1]["content"]) == ({"Regex": r"\s+"}, " "),
+        "pre_tokenizer": [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": SPLIT} and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True) and (splits[1]["add_prefix_space"], splits[1]["use_regex"]) == (False, False),
+        "decoder": data.get("decoder") is None,
+        "added tokens": not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in data["added_tokens"]),
+    }
+    if wrong := [k for k, ok in own.items() if not ok]:
+        raise ValueError(f"{path} has another {', '.join(wrong)} than a lower-casing BPE with word ends")
+
+
 class WordBpe:
-    """Vocabulary, merges and added tokens of a tokenizer file with word ends, as arrays."""
+    """Vocabulary, merges and added tokens of a tokenizer file with word ends, as arrays. Files of another make are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        _refuse_others(path, data)
         model, added = data["model"], data["added_tokens"]
-        if model["type"] != "BPE" or model["end_of_word_suffix"] != END:
-            raise ValueError(f"{path} is not a BPE with word ends")
         vocab = model["vocab"]
         self.tokens = [b""] * (max([*vocab.values(), *(a["id"] for a in added)]) + 1)
         for token, i in [*vocab.items(), *((a["content"], a["id"]) for a in added)]:
@@ -73,7 +92,7 @@ class WordBpe:
         """Pieces of a text in order; an added token's string stays whole."""
         if not text:
             return []
-        if self.added_pattern is not None and "<" in text:
+        if any(x in text for x in self.added):
             out = []
             for part in self.added_pattern.split(text):
                 out += [part] if part in self.added else PIECES.findall(normalised(part))
@@ -280,7 +299,11 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, n: int, text_col: str = "text") -> list[bytes]:
-    """The ``n`` most frequent words (runs of letters, lower-cased) of all documents, by count and then by name."""
+    """The most frequent words (runs of letters, lower-cased) of all documents, at most ``n``: all whose count reaches a cut-off.
+
+    The cut-off comes from a histogram of the counts, so that no more than ``n`` words leave the executors, however many
+    partitions there are. Words that occur once are never among them.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -298,8 +321,15 @@ def frequent_words(docs: DataFrame, n: int, text_col: str = "text") -> list[byte
         if counts:
             yield handed()
 
-    total = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in total.orderBy(F.desc("n"), "word").limit(n).collect()]
+    total = persisted(docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # counts fall into steps of a few per cent; from the top, those steps are taken whole that stay within n words
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    left, least = n, None
+    for r in total.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        if r["words"] > left:
+            break
+        left, least = left - r["words"], r["step"]
+    return [] if least is None else [bytes(r["word"]) for r in total.where(step >= least).select("word").collect()]
 
 
 class Encoder:
@@ -361,7 +391,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     """Ids of every text and the text they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids``
     also ids (array<int>), with ``with_text`` also decoded.
 
-    ``tokenizer`` is a tokenizer file; its contents travel with the job. No special tokens are added; their strings in a
+    ``tokenizer`` is a tokenizer file; its contents travel with the job. A file whose normaliser, split, decoder or flags are others
+    is refused. No special tokens are added; their strings in a
     text are read as the tokens. ``lexicon_words`` bounds the automaton, and with it what the driver holds.
 
     Null and empty texts have no ids and decode to an empty text. Texts of any length are encoded whole. Rows are
@@ -372,10 +403,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     model = WordBpe(tokenizer)
     words = frequent_words(docs, lexicon_words, text_col)
     words = sorted({w for w in words if PIECES.fullmatch(w.decode("utf-8", "replace")) and normalised(w.decode("utf-8", "replace")).encode() == w})
-    folder = tempfile.mkdtemp(prefix="marlstone-lexicon-")
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    write_lexicon(compile_lexicon(words, dict(zip(words, model.merge(words)))), f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
+    path = os.path.join(SparkFiles.getRootDirectory(), name)  # Spark's own folder for files that it sends out; it goes with the session
+    write_lexicon(compile_lexicon(words, dict(zip(words, model.merge(words)))), path)
+    spark.sparkContext.addFile(path)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ddl = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text

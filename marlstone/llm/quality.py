@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import crc_mod, packed
+from marlstone.llm.common import crc_mod, packed, whole_text
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -162,16 +162,24 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = ROUNDS, rate: float = RAT
     return AdditiveModel(bias, cuts, tables, [(a, b, coarse[a], coarse[b], t) for a, b, t in chosen])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` with a 0/1 ``label``, at most about ``sample_rows``: those whose ids have the smallest hashes."""
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample_rows)
-    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).drop("__id")
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int, text_col: str, id_col: str = "doc_id") -> DataFrame:
+    """``__id``, ``__label`` and ``__text`` of labelled documents, at most ``sample_rows``: those whose ids have the smallest hashes.
+
+    Only ids under a hash that lets through about ``sample_rows`` are sorted. Rows that repeat a labelled id count as one,
+    with the smallest text, so that the bound holds for documents too.
+    """
+    usable = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__label")).distinct()
+    space, h = 1 << 40, F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
+    n = usable.count()
+    near = usable.where(h < int(space * min(1.0, (sample_rows + 5 * sample_rows**0.5 + 5) / max(n, 1))))
+    chosen = near.orderBy(h, "__id", "__label").limit(sample_rows)
+    met = docs.select(F.col(id_col).alias("__key"), whole_text(text_col).alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id"))
+    return met.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
     """Fit on the rows of ``labels``. ``sample_rows`` bounds what is fitted on and what the driver holds."""
-    rows = labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("__text")), labels, label, sample_rows, id_col).select(F.col(id_col).alias("__id"), "__label", "__text")
+    rows = labelled_sample(docs, labels, label, sample_rows, text_col, id_col)
 
     def shape(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +210,8 @@ def train_and_score(docs: DataFrame, labels: DataFrame, *, fold: int = 5, held:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
 
     Fitted on labelled rows whose crc32(doc_id as text) mod ``fold`` is not ``held``; ``held_out`` marks the others. A null
-    label, a label that is not 0 or 1, or one without a document is not used; a document labelled twice counts twice.
+    label, a label that is not 0 or 1, or one without a document is not used; a document labelled both ways counts twice, and one that
+    repeats with other texts counts with the smallest.
     Without usable labels of both kinds the score is their smoothed share (0.5 without any). A null doc_id is never held
     out. Repeated rows are scored alike; an empty table gives an empty result.
     """

@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Words are counted and numbered on the executors; the driver holds at most LEXICON words and their numbers in the
     sample's sentences.
     """
-    rows = labelled_sample(docs.select(F.col(id_col), F.col(text_col).alias("__text")), labels, label, sample_rows, id_col)
-    sample = persisted(rows.select(F.col(id_col).cast("string").alias("id"), F.col("__label").alias("label"), F.coalesce("__text", F.lit("")).alias("text")))
+    rows = labelled_sample(docs, labels, label, sample_rows, text_col, id_col)
+    sample = persisted(rows.select(F.col("__id").cast("string").alias("id"), F.col("__label").alias("label"), F.col("__text").alias("text")))
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     words: list[bytes] = []
     if 0 < toxic < n:

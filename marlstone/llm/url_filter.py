@@ -2,7 +2,9 @@
 
 A rule is a host and a path prefix; its expression is their concatenation. A URL is expanded into the host suffixes that
 have as many labels as rules have, combined with the path prefixes that are as long as rules' paths are. Expressions meet
-rules in an equi-join on the first 32 bits of their SHA-256, confirmed by the full digest. The longest rule wins.
+rules in an equi-join on the first 32 bits of their SHA-256, confirmed by the full digest. The longest rule wins. URLs that
+no rule fits leave nothing behind the join, equal ones are summed up before any shuffle, and what is left meets the pages once.
+Both joins have a written table on one side, so that a host with many pages is split between tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import persisted
+
 PREFIX_HEX = 8
 
 
@@ -42,7 +46,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     A null URL or one without ``://`` has an empty host and path, which no rule with a host fits. Repeated rows come out as
     often as they went in. Other columns of ``pages`` are not read.
     """
-    rules = (
+    rules = persisted(
         rules.where("host is not null and path is not null and verdict is not null")
         .select(F.translate("host", string.ascii_uppercase, string.ascii_lowercase).alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
         .groupBy("rule_host", "rule_path")
@@ -56,15 +60,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     label_counts, lengths = (F.array(*[F.lit(x) for x in xs] or [F.lit(-1)]).cast("array<int>") for xs in (shape["labels"], shape["lengths"]))
 
     url = F.coalesce(F.col(url_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("times"))
+    rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     suffixes = F.transform(F.filter(label_counts, lambda n: (n > 0) & (n <= F.size(F.split("host", r"\.")))), lambda n: _last_labels(F.col("host"), n))
     prefixes = F.transform(F.filter(lengths, lambda n: (n >= 0) & (n <= F.length("path"))), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.sha2(F.concat(s, p), 256))))
-    expanded = rows.select("*", F.explode_outer(expressions).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
-    met = expanded.join(rules, "prefix", "left")
-    confirmed = F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "rule", "rule_verdict"))
-    best = met.groupBy("page_id", "host", "path", "times").agg(F.max(confirmed).alias("best"))
-    return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    expanded = rows.select("host", "path", F.explode(expressions).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
+    met = expanded.join(rules, "prefix").where(F.col("digest") == F.col("rule_digest"))
+    best = persisted(met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), F.length("rule_host").alias("host_size"), "rule", "rule_verdict")).alias("best")))
+    judged = rows.join(best, ["host", "path"], "left")
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def _last_labels(host: Column, n: Column) -> Column:

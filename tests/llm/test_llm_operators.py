@@ -1,9 +1,12 @@
 """Small fixtures with brute-force results for each corpus operator."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -109,7 +112,7 @@ def tokenizer():
     return public.path("word_bpe_49k.json")
 
 
-def test_bpe_matches_the_library(spark, docs, none, tokenizer):
+def test_bpe_matches_the_library(spark, docs, none, tokenizer, tmp_path):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(tokenizer)
@@ -121,9 +124,27 @@ def test_bpe_matches_the_library(spark, docs, none, tokenizer):
         assert r["decoded"] == reference.decode(want, skip_special_tokens=False)
         assert r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in want)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    other = tmp_path / "other.json"
+    other.write_text(Path(tokenizer).read_text(encoding="utf-8").replace('"type":"Lowercase"', '"type":"NFD"').replace('"type": "Lowercase"', '"type": "NFD"'), encoding="utf-8")
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.WordBpe(str(other))
     assert len(rows(bpe.encode_decode(docs, tokenizer))) == 11 and rows(bpe.encode_decode(none, tokenizer)) == []
 
 
+def test_frequent_words_are_those_over_a_cut_off(spark):
+    rng = random.Random(6)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(300)], k=200)) for _ in range(50)]
+    counts = Counter(w for t in texts for w in t.split())
+    for n in (0, 40, 10**6):
+        got = [w.decode() for w in bpe.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7), n)]
+        assert len(got) <= n and len(set(got)) == len(got)
+        if n == 40:
+            assert len(got) > 20 and min(counts[w] for w in got) > max(c for w, c in counts.items() if w not in got)
+        if n == 10**6:
+            assert set(got) == {w for w, c in counts.items() if c > 1}
+
+
 def test_lexicon_is_a_minimal_perfect_index(tmp_path, tokenizer):
     model = bpe.WordBpe(tokenizer)
     words = sorted({w.encode() for w in "the then thin thing things sing sings a an ant ants été".split()})
@@ -167,6 +188,54 @@ def test_quality_learns_held_out_labels(spark, docs, none):
     assert passed.columns == [*docs.columns, "__q"] and {r["__q"] for r in rows(passed)} == {0.5}
 
 
+def test_labelled_sample_is_bounded_and_the_smallest_hashes(spark):
+    docs = spark.range(3000).selectExpr("id % 1000 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(1200).selectExpr("id as doc_id", "cast(if(id % 7 = 0, null, id % 2) as int) as quality")
+    for n in (50, 5000):
+        got = rows(quality.labelled_sample(docs, labels, "quality", n, "text"))
+        usable = [i for i in range(1000) if i % 7]
+        assert len(got) <= n and (n < 1000 or sorted(r["__id"] for r in got) == usable)
+        assert all(r["__text"] == min(f"text {r['__id'] + k}" for k in (0, 1000, 2000)) and r["__label"] == r["__id"] % 2 for r in got)
+
+
+def plain_table_score(model, x):
+    """A score of the additive model by one row and one feature at a time."""
+    z = model.bias
+    for f, (cut, own) in enumerate(zip(model.cuts, model.tables)):
+        z += own[sum(x[f] >= c for c in cut)]
+    for a, b, cut_a, cut_b, own in model.pairs:
+        z += own[sum(x[a] >= c for c in cut_a)][sum(x[b] >= c for c in cut_b)]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_of_both_models_against_plain_sums(spark):
+    table, labels = labelled(spark, "quality")
+    model = quality.train(table, labels)
+    texts = {r["doc_id"]: r["text"] for r in rows(table)}
+    for r in rows(quality.score(table, model))[:60]:
+        assert r["score"] == pytest.approx(plain_table_score(model, quality.features(texts[r["doc_id"]])), abs=1e-9)
+    table, labels = labelled(spark, "toxic")
+    model = toxicity.train(table, labels)
+    for r in rows(toxicity.score(table, model))[:60]:
+        rest = math.exp(-model.leak)
+        for sentence in re.split(r"[.!?\n\r]", r["text"]):
+            if words := set(re.findall("[a-z]+", sentence)):
+                rest *= 1 - 1 / (1 + math.exp(-model.bias - sum(model.weights.get(p.encode(), 0.0) for w in words for p in [w, *(w[:n] + "-" for n in (4, 5, 6, 7) if n < len(w))])))
+        assert r["score"] == pytest.approx(1 - rest, abs=1e-6)
+
+
+@pytest.mark.parametrize("kind, module, fold, held", [("quality", quality, 5, 0), ("toxic", toxicity, 4, 2)])
+def test_held_out_accuracy_on_the_tables(spark, kind, module, fold, held):
+    """Held-out labels of the test tables; an area under the curve by counting pairs."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    got = {r["doc_id"]: r["score"] for r in rows(module.train_and_score(spark.read.parquet(f"{folder}/documents.parquet"), labels)) if r["held_out"]}
+    known = [(got[r["doc_id"]], r[kind]) for r in rows(labels) if r["doc_id"] in got and r[kind] is not None]
+    one, zero = [s for s, y in known if y == 1], [s for s, y in known if y == 0]
+    auc = sum((a > b) + (a == b) / 2 for a in one for b in zero) / (len(one) * len(zero))
+    assert len(one) >= 3 and auc >= 0.9, auc
+
+
 def test_toxicity_learns_and_locates(spark, docs, none):
     table, labels = labelled(spark, "toxic")
     want = {r["doc_id"]: r["toxic"] for r in rows(labels)}
@@ -219,6 +288,9 @@ def test_url_filter(spark):
     assert got == sorted(((i % 12, *judge(u)) for i, u in enumerate(urls)), key=key)
     assert rows(url_filter.url_filter(pages.limit(0), rules)) == []
     assert {r["verdict"] for r in rows(url_filter.url_filter(pages, rules.limit(0)))} == {"allow"}
+    odd = spark.createDataFrame([(None, "/", "block"), ("org", None, "block"), ("org", "/", None), ("ORG", "/a", "block"), ("org", "/a", "allow")], "host string, path string, verdict string")
+    long = spark.createDataFrame([(1, "http://x.org/a" + "b" * 200_000), (2, "http://" + "a." * 5000 + "org/b"), (None, "http://org/a")], "page_id long, url string")
+    assert [(r["page_id"], r["rule"], r["verdict"]) for r in rows(url_filter.url_filter(long, odd).orderBy("page_id"))] == [(None, "org/a", "block"), (1, "org/a", "block"), (2, None, "allow")]
 
 
 # 7 WARC
