@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.storage import persisted, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["crc_mod", "packed", "persisted", "shared_dir", "table", "whole_text"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (tests), a temporary one is taken."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="marlstone-shared-")
-        sc.setCheckpointDir(folder)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
 
-
-def persisted(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def whole_text(text: str | Column = "text") -> Column:

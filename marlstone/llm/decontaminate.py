@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing.
 
 The benchmark is read in blocks of a bounded number of words. A block's words get numbers, its windows of ten words and
-its k-gram fingerprints (the minimum hash of every six consecutive 5-grams) go into sorted arrays, and one pass over the
-documents scans against them. Every span of ten shared words contains six consecutive 5-grams, so both sides keep the
+its k-gram fingerprints (the minimum hash of every six consecutive 5-grams) go into sorted arrays, and one job over the
+documents scans against them; no more than one block is broadcast at a time. Every span of ten shared words contains six consecutive 5-grams, so both sides keep the
 same minimum and the span can't be missed. A shared fingerprint is extended to all windows around it, each confirmed
 word by word. Items of fewer than ten words are one window of their own length and are looked up directly.
 
@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import packed
+from marlstone.llm.common import packed, persisted, whole_text
 
 WINDOW = 10
 GRAM = 5
@@ -109,8 +110,8 @@ class BenchmarkBlock:
         order = np.argsort(hashes)
         return {"seed": seed, "hashes": hashes[order], "order": order, "words": words, "first": np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), "owners": pairs[:, 1]}
 
-    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """For each text: number of words, number of hit words, ranks of the items with windows in it."""
+    def scan(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[np.ndarray]]:
+        """For each text: number of words, hit word ranges [start, end), ranks of the items with windows in it."""
         split = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in split], dtype=np.int64)
         ends = np.cumsum(sizes + 1)
@@ -141,24 +142,14 @@ class BenchmarkBlock:
             first, many = table["first"][seen[:, 1]], table["first"][seen[:, 1] + 1] - table["first"][seen[:, 1]]
             flat = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(seen) else np.zeros(0, dtype=np.int64)
             found.append(np.stack([np.repeat(seen[:, 0], many), table["owners"][flat]], axis=1))
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-        n_hit = hit[ends - 1] - hit[ends - 1 - sizes] if len(ends) else sizes
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])))
+        for text, a, b in zip(np.searchsorted(ends, edges[::2], side="right").tolist(), edges[::2].tolist(), edges[1::2].tolist()):
+            first = int(ends[text] - 1 - sizes[text])
+            spans[text].append((a - first, b - first))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
         cut = np.searchsorted(pairs[:, 0], np.arange(len(texts) + 1))
-        return sizes, n_hit, [pairs[a:b, 1] for a, b in zip(cut, cut[1:])]
-
-    def spans(self, text: str | None) -> list[tuple[int, int]]:
-        """Hit word ranges [start, end) of one text, for removal or display."""
-        words = words_of(text)
-        hits = np.zeros(len(words) + 1, dtype=bool)
-        ids = np.fromiter(map(self.number.get, words, repeat(0)), dtype=np.int64, count=len(words))
-        for n, table in self.tables.items():
-            known = {tuple(row) for row in table["words"].tolist()}
-            for s in _full_starts(ids, n).tolist():
-                if tuple(ids[s : s + n].tolist()) in known:
-                    hits[s : s + n] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], hits[:-1].astype(np.int8), [0]])))
-        return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
+        return sizes, spans, [pairs[a:b, 1] for a, b in zip(cut, cut[1:])]
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[BenchmarkBlock]:
@@ -199,48 +190,56 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     Null and empty texts have no words and no hits; an item without words has no window; a null item id counts as an empty
     string. Rows are judged one by one, so repeated rows come out as often. An empty benchmark leaves every row clean.
-    If the benchmark takes more than one block, documents are scanned once for each block and the hit positions united.
+    If the benchmark takes more than one block, documents are scanned once for each block, in one job after the other; the
+    hit ranges of each text are written and united. Items of several blocks and equal texts are told apart by digests of the texts.
     """
-    spark = docs.sparkSession
-    found = list(_spread(blocks(benchmark, block_words=block_words), spark))
+    every = blocks(benchmark, block_words=block_words)
+    first, second = next(every), next(every, None)
     rows, ddl = packed(docs, text_col, [id_col] if carry is None else carry)
+    if second is None:
+        found = _scanned(rows, ddl, first, whole=True)
+    else:
+        # hits of one block after the other, by text; then all texts meet the hits of all blocks
+        digest = F.md5(whole_text("text"))
+        texts = rows.select(digest.alias("row"), "text")
+        hits = [persisted(_scanned(texts, "row string", block, whole=False).dropDuplicates(["row"])) for block in chain([first, second], every)]
+        united = reduce(DataFrame.unionByName, hits).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        met = rows.withColumn("__digest", digest).join(persisted(united.withColumnRenamed("row", "__of")), F.col("__digest") == F.col("__of"), "left")
+        found = met.select("row", _n_words(F.col("text")).alias("n_words"), _covered(F.col("spans")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return found.select(F.col("row")[id_col].alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "row")
+
+
+def _scanned(rows: DataFrame, ddl: str, block: BenchmarkBlock, *, whole: bool) -> DataFrame:
+    """``row`` of each text with n_words, n_hit and items, if ``whole``; else ``row``, spans and items of the texts that are hit."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _chunks(texts):
-                part = texts[a:b]
-                if len(found) == 1:
-                    block = found[0].value
-                    n_words, n_hit, ranks = block.scan(part)
-                    items = [[block.names[r] for r in row.tolist()] for row in ranks]
+                n_words, spans, ranks = own.scan(texts[a:b])
+                items = pa.array([[own.names[r] for r in x.tolist()] for x in ranks], pa.list_(pa.string()))
+                part = batch.column(0).slice(a, b - a)
+                if whole:
+                    yield pa.RecordBatch.from_arrays([part, pa.array(n_words, pa.int64()), pa.array([sum(y - x for x, y in s) for s in spans], pa.int64()), items], ["row", "n_words", "n_hit", "items"])
                 else:
-                    n_words, n_hit, items = _united([x.value for x in found], part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "n_hit", "items"])
-
-    out = rows.mapInArrow(scan, ddl + ", n_words long, n_hit long, items array<string>")
-    return out.select(F.col("row")[id_col].alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "row")
-
-
-def _spread(found: Iterator[BenchmarkBlock], spark) -> Iterator:
-    for block in found:
-        yield spark.sparkContext.broadcast(block)
-
-
-def _united(found: list[BenchmarkBlock], texts: list) -> tuple[list[int], list[int], list[list[str]]]:
-    n_words, n_hit, items = [], [], []
-    for text in texts:
-        hits, names = set(), set()
-        for block in found:
-            n, any_hit, ranks = block.scan([text])
-            if any_hit[0]:
-                names.update(block.names[r] for r in ranks[0].tolist())
-                for a, b in block.spans(text):
-                    hits.update(range(a, b))
-        n_words.append(int(n[0]))
-        n_hit.append(len(hits))
-        items.append(sorted(names))
-    return n_words, n_hit, items
+                    cut = pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(span))
+                    yield pa.RecordBatch.from_arrays([part, cut, items], ["row", "spans", "items"]).filter(pa.array([bool(s) for s in spans], pa.bool_()))
+
+    return rows.select("row", "text").mapInArrow(scan, ddl + (", n_words long, n_hit long, items array<string>" if whole else ", spans array<struct<start:int,stop:int>>, items array<string>"))
+
+
+def _n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+
+
+def _covered(spans: Column) -> Column:
+    """Positions that lie in any of the ranges; 0 for null."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda acc, s: F.struct(F.greatest(acc["end"], s["stop"]).alias("end"), (acc["n"] + F.greatest(s["stop"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("n"))
+    return F.coalesce(F.aggregate(F.array_sort(spans), zero, step, lambda acc: acc["n"]), F.lit(0).cast("long"))
 
 
 ORACLE_SQL = r"""

@@ -314,6 +314,29 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     assert len(index.captures("com,b)/y%20z")) == 2
 
 
+def test_warc_takes_any_id_and_long_payloads(spark):
+    ids = ["a\tb", "c\r\nd", "", "null", "id:1", "%41 +é", None]
+    data = [(x, f"http://h{i % 2}.com/\n{i}", "y" * (9 << 20) if i == 0 else "z" * 2000 if i < 4 else f"p{i}") for i, x in enumerate(ids)]
+    got = rows(warc.round_trip(spark.createDataFrame(data, "page_id string, url string, html string")))
+    assert sorted(map(str, (r["page_id"] for r in got))) == sorted(map(str, ids))
+    stored = max(ids[1:4])
+    for r in got:
+        html = dict((a, c) for a, _, c in data)[r["page_id"]]
+        assert r["payload_digest"] == hashlib.sha1(html.encode()).hexdigest() and r["refers_to"] == (stored if r["page_id"] in ids[1:4] and r["page_id"] != stored else None)
+
+
+def test_warc_lookups_span_blocks_and_files(spark, tmp_path):
+    pages = spark.range(60).selectExpr("id as page_id", "concat('http://a.com/', cast(id % 4 as string)) as url", "'x' as html")
+    folder = f"file://{tmp_path}/w"
+    (tmp_path / "w").mkdir()
+    parts = warc.write_index(warc.write_archives(warc.with_revisits(pages.union(pages.where("page_id = 8"))), folder), folder, block_lines=3)
+    assert parts.count() > 1
+    index = warc.CaptureIndex(parts, folder)
+    assert [len(index.captures(f"com,a)/{k}")) for k in range(5)] == [16, 15, 15, 15, 0]
+    asked = spark.createDataFrame([("com,a)/0", "id:8"), ("com,a)/3", "id:3"), ("com,a)/3", "id:8"), ("zz", "id:1"), ("", "null")], "key string, ref string")
+    assert sorted((r["key"], r["ref"]) for r in rows(warc.lookup(asked, parts, folder))) == [("com,a)/0", "id:8"), ("com,a)/0", "id:8"), ("com,a)/3", "id:3")]
+
+
 # 8 decontamination
 
 
