@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import persisted
-from marlstone.llm.components import components
+from marlstone.operators.graph import components
 
 BASE = 1.001
 RATE = 20.0
@@ -209,10 +209,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 
 def _celled(rows: DataFrame, group: str, *columns: str) -> DataFrame:
     """``rows`` (group, label, node, ...) dealt to cells (group, i, j): those outside the group's largest label to every
-    cell of their block i as strays, all to every cell of their block j."""
+    cell of their block i as strays, all to every cell of their block j.
+
+    A group of n rows with s strays takes about s * n / CELL**2 cells, so a bucket that many unlike texts share costs the
+    product of both; five equal registers of 48 bands keep such buckets small.
+    """
     parts = rows.groupBy(group, "label").agg(F.count("*").alias("k"))
     sizes = parts.groupBy(group).agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("largest")).where("parts > 1")
-    sizes = sizes.select(group, F.col("largest.label").alias("largest"), (F.floor((F.col("size") - F.col("largest.k")) / CELL) + 1).alias("rows_"), (F.floor(F.col("size") / CELL) + 1).alias("columns_"))
+    sizes = persisted(sizes.select(group, F.col("largest.label").alias("largest"), (F.floor((F.col("size") - F.col("largest.k")) / CELL) + 1).alias("rows_"), (F.floor(F.col("size") / CELL) + 1).alias("columns_")))
     met = persisted(rows.join(sizes, group).withColumn("h", F.xxhash64("node")))
     count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     others = met.select(group, "label", "node", F.lit(False).alias("stray"), F.pmod("h", "columns_").alias("j"), count("rows_").alias("i"), *columns)
@@ -312,7 +316,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = persisted(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")))
 
     every = _bands(classes, bands)
-    leaders = every.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("first")).where("size > 1").select("bucket", F.col("first.node").alias("leader"))
+    leaders = persisted(every.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("first")).where("size > 1").select("bucket", F.col("first.node").alias("leader")))
     members = persisted(every.join(leaders, "bucket").where("node <> leader"))
     stars = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
@@ -343,7 +347,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             labels = components(edges.union(more))
 
     grouped = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
+    ids = persisted(grouped.groupBy("label").agg(F.min("rep").alias("component_id")))
     of_class = grouped.join(ids, "label").select("node", "component_id")
     out = sketched.select("doc_id", "n", "node").join(of_class, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
