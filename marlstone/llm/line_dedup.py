@@ -10,6 +10,8 @@ short array; texts meet it in one join by host and are rebuilt in place.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from marlstone.llm.common import persisted, whole_text
 RATIO = 0.1
 #: Pages that must contain a line before it can be boilerplate, so that small hosts keep theirs.
 LEAST_PAGES = 3
-#: Least length in code points and the ratio from there on, for the pipeline. At sf0.1 (500 pages a source) every line of 50
+#: Least length in code points and the ratio from there on. At sf0.1 (500 pages a source) every line of 50
 #: words or more that repeats within a source is in 0.6-0.8 % of its pages, the common passages are in 1-5 %, and lines of
 #: three words or fewer reach 4.8 %.
 LOW_RATIOS = ((0, 0.02), (20, 0.01), (60, 0.005))
@@ -38,6 +40,11 @@ def _digest(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
+def _exact(ratio: float) -> Column:
+    """The ratio as a decimal, so that a share of exactly the ratio isn't over it."""
+    return F.lit(Decimal(str(ratio))).cast("decimal(10,6)")
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """host, digest, n, neighbours, length of each line: pages, different pairs of lines around it, code points.
 
@@ -45,7 +52,8 @@ def _counted(rows: DataFrame) -> DataFrame:
     """
     line = lambda x: F.struct(_digest(x).alias("digest"), F.length(F.btrim(x, F.lit(_WHITE))).alias("length"))
     rows = rows.withColumn("__all", F.filter(F.transform(_lines(F.col("text")), line), lambda x: x["digest"].isNotNull()))
-    near = lambda i: F.xxhash64(F.get("__all", i - 1)["digest"], F.get("__all", i + 1)["digest"])
+    at = lambda i: F.coalesce(F.get("__all", i)["digest"], F.lit(b""))
+    near = lambda i: F.xxhash64(at(i - 1), F.lit(0), at(i + 1))
     rows = rows.withColumn("__sorted", F.sort_array(F.transform("__all", lambda x, i: F.struct(x["digest"].alias("digest"), i.alias("i"), x["length"].alias("length"), near(i).alias("near")))))
     first = F.filter("__sorted", lambda x, i: (i == 0) | (F.get("__sorted", i - 1)["digest"] != x["digest"]))
     one = rows.select("host", F.explode(first).alias("x")).groupBy("host", F.col("x.digest").alias("digest"), F.col("x.near").alias("near")).agg(F.count("*").alias("n"), F.first("x.length").alias("length"))
@@ -58,12 +66,12 @@ def boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "t
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     if low_ratios:
         counts = _counted(rows)
-        low = F.coalesce(*[F.when(F.col("length") >= least, F.lit(r)) for least, r in sorted(low_ratios, reverse=True)])
-        over = (F.col("n") > ratio * F.col("pages")) | (F.col("n") > low * F.col("pages")) & (F.col("neighbours") >= LEAST_NEIGHBOURS)
+        low = F.coalesce(*[F.when(F.col("length") >= least, _exact(r)) for least, r in sorted(low_ratios, reverse=True)])
+        over = (F.col("n") > _exact(ratio) * F.col("pages")) | (F.col("n") > low * F.col("pages")) & (F.col("neighbours") >= LEAST_NEIGHBOURS)
     else:
         own = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _digest), lambda d: d.isNotNull()))
         counts = rows.select("host", F.explode(own).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
-        over = F.col("n") > ratio * F.col("pages")
+        over = F.col("n") > _exact(ratio) * F.col("pages")
     met = counts.where(F.col("n") >= least_pages).join(totals.withColumnRenamed("host", "__host"), F.col("host").eqNullSafe(F.col("__host")))
     return met.where(F.coalesce(over, F.lit(False))).groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("digests"))
 
@@ -100,9 +108,13 @@ l AS (
   SELECT n, source, line, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS bare, pos
   FROM (SELECT n, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t)),
 pages AS (SELECT source, count(*) AS pages FROM t GROUP BY source),
+near AS (
+  SELECT n, source, bare, pos, coalesce(lag(bare) OVER w, '') AS before, coalesce(lead(bare) OVER w, '') AS after FROM l WHERE bare <> '' WINDOW w AS (PARTITION BY n ORDER BY pos)),
+firsts AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY n, bare ORDER BY pos) = 1),
+c AS (SELECT source, bare, count(*) AS k, count(DISTINCT struct_pack(a := before, b := after)) AS pairs FROM firsts GROUP BY source, bare),
 bad AS (
-  SELECT x.source, x.bare FROM (SELECT source, bare, count(DISTINCT n) AS k FROM l WHERE bare <> '' GROUP BY source, bare) x
-  JOIN pages p ON x.source IS NOT DISTINCT FROM p.source WHERE k >= 3 AND k > 0.1 * p.pages),
+  SELECT c.source, c.bare FROM c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
+  WHERE k >= 3 AND (10 * k > p.pages OR pairs >= 3 AND 1000 * k > CASE WHEN length(bare) >= 60 THEN 5 WHEN length(bare) >= 20 THEN 10 ELSE 20 END * p.pages)),
 j AS (SELECT l.n, l.pos, l.line, bad.bare IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.bare = bad.bare),
 g AS (SELECT n, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM j GROUP BY n)
 SELECT t.doc_id, g.n_lines, g.n_dropped, sha256(g.text) AS text_sha256 FROM t JOIN g USING (n)

@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pytest
 
-from marlstone.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, quality, toxicity, url_filter, warc
+from marlstone.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, quality, registry, toxicity, url_filter, warc
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -268,6 +268,15 @@ def test_line_dedup_against_counting(spark, docs, none):
     assert edge.count() == 11 and edge.columns[:-2] == docs.columns and rows(line_dedup.line_dedup(none)) == []
 
 
+def test_a_share_of_exactly_the_ratio_stays(spark):
+    for pages, share in ((30, 3), (70, 7), (10, 3)):
+        texts = [(i, "often" if i < share else f"only {i}", "h") for i in range(pages)]
+        got = rows(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string, source string"), ratio=share / pages))
+        assert sum(r["n_dropped"] for r in got) == 0
+        got = rows(line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string, source string"), ratio=share / pages - 1e-4))
+        assert sum(r["n_dropped"] for r in got) == share
+
+
 # 6 URL filters
 
 
@@ -438,3 +447,21 @@ def test_pii_trees_learn_from_base_spans_what_patterns_miss(spark):
     got = {r["doc_id"]: r["spans"].partition(":")[0] for r in rows(pii.find_pii(spark.createDataFrame(planted, "doc_id long, text string"), model=model))}
     hits = [sum(got[i] == kind for i in range(k, 160, len(forms))) / 20 for k, (kind, _) in enumerate(forms)]
     assert min(hits[-2:]) == 1 and sum(h >= 0.8 for h in hits[:-2]) >= 5, hits
+
+
+# queries
+
+
+@pytest.mark.parametrize("folder", ["sf0.01"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_against_sql(spark, name, folder):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{folder}/{t}.parquet'")
+    got, want = registry.queries()[name](spark, f"/root/testdata/{folder}"), con.sql(registry.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    plain = lambda found: sorted(tuple(map(str, r)) for r in found)
+    assert plain(got.select(*columns).collect()) == plain(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
