@@ -29,6 +29,8 @@ from marlstone.llm.quality import _sigmoid
 
 #: Documents that the trees are fitted on, about: half of any kind, and a tenth for each kind that a cheap test tells.
 SAMPLE_DOCS = 4000
+#: Documents that are tested for that, about.
+POOL_DOCS = 40_000
 #: Proposals that are taken from them, at most.
 SAMPLE_PROPOSALS = 40_000
 TREES = 25
@@ -306,10 +308,12 @@ def fit(x: np.ndarray, y: np.ndarray, kind: np.ndarray, held: np.ndarray, *, tre
 def _sample(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
     """``__key``, ``__text`` of about ``sample_docs`` documents, by hash of their ids: for each test of SAMPLED its share.
 
-    Documents are tested once; which are taken follows from the counts, so no rows are sorted or gathered to choose.
+    About POOL_DOCS documents are tested, once; which are taken follows from the counts, so no rows are sorted or gathered to choose.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__key"), whole_text(text_col).alias("__text"))
-    tested = persisted(rows.select("__key", F.pmod(F.xxhash64("__key"), F.lit(1 << 30)).alias("h"), *[F.col("__text").rlike(p).alias(f"t{i}") for i, p in enumerate(SAMPLED)]))
+    h, space = F.pmod(F.xxhash64("__key"), F.lit(1 << 40)), 1 << 40
+    pool = rows.where(h < int(space * min(1.0, POOL_DOCS / max(rows.count(), 1))))
+    tested = persisted(pool.select("__key", F.pmod(F.xxhash64("__key", F.lit("taken")), F.lit(1 << 30)).alias("h"), *[F.col("__text").rlike(p).alias(f"t{i}") for i, p in enumerate(SAMPLED)]))
     counts = tested.agg(*[F.count_if(f"t{i}") for i in range(len(SAMPLED))]).first()
     wanted = [sample_docs // 10] * (len(SAMPLED) - 1) + [sample_docs // 2]
     taken = reduce(lambda a, b: a | b, [F.col(f"t{i}") & (F.col("h") < int((1 << 30) * min(1.0, w / max(n, 1)))) for i, (w, n) in enumerate(zip(wanted, counts))])
