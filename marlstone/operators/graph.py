@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node follows the smallest node beside it twice, and the edges left between different choices are
     the next round's. Nodes are compared by hash, so that a long chain of growing ids shrinks by a share of it in each
     round. At the end the label of each component becomes its smallest node. No component lies in one task: minima are
-    summed up before they are shuffled, and joins, in which a hub has many rows, are between written tables, so that Spark
-    splits its partition. Null nodes and loops are left out.
+    summed up before they are shuffled, and joins, in which a hub has many rows, are sort-merge joins of written tables, so
+    that Spark splits its partition and the driver holds no table. Null nodes and loops are left out.
     """
     keyed = edges.where("a <> b").select(*[F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c) for c in ("a", "b")])
     edges = persisted(keyed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -24,18 +24,18 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         step = persisted(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
         after = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = persisted(step.join(after, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+        step = persisted(step.join(after.hint("merge"), "to", "left").select("node", F.coalesce("further", "to").alias("to")))
         if nodes is None:
             nodes = step.select("node", F.col("to").alias("label"))
         else:
-            nodes = nodes.join(step.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            nodes = nodes.join(step.select(F.col("node").alias("label"), "to").hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         left = step.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         right = step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = persisted(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = persisted(edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if edges.isEmpty():
             nodes = persisted(nodes.select(F.col("node.id").alias("node"), F.col("label.id").alias("label")))
             least = persisted(nodes.groupBy("label").agg(F.min("node").alias("least")))
-            return nodes.join(least, "label").select("node", F.col("least").alias("label"))
+            return nodes.join(least.hint("merge"), "label").select("node", F.col("least").alias("label"))
 
 
 def grouped(items: DataFrame, edges: DataFrame, id_col: str = "item_id") -> DataFrame:
