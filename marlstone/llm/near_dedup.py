@@ -217,7 +217,7 @@ def _celled(rows: DataFrame, group: str, *columns: str) -> DataFrame:
     parts = rows.groupBy(group, "label").agg(F.count("*").alias("k"))
     sizes = parts.groupBy(group).agg(F.count("*").alias("parts"), F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("largest")).where("parts > 1")
     sizes = persisted(sizes.select(group, F.col("largest.label").alias("largest"), (F.floor((F.col("size") - F.col("largest.k")) / CELL) + 1).alias("rows_"), (F.floor(F.col("size") / CELL) + 1).alias("columns_")))
-    met = persisted(rows.join(sizes, group).withColumn("h", F.xxhash64("node")))
+    met = persisted(rows.join(sizes.hint("merge"), group).withColumn("h", F.xxhash64("node")))
     count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     others = met.select(group, "label", "node", F.lit(False).alias("stray"), F.pmod("h", "columns_").alias("j"), count("rows_").alias("i"), *columns)
     strays = met.where("label <> largest").select(group, "label", "node", F.lit(True).alias("stray"), F.pmod("h", "rows_").alias("i"), count("columns_").alias("j"), *columns)
@@ -317,11 +317,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     every = _bands(classes, bands)
     leaders = persisted(every.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket").alias("h"), "node")).alias("first")).where("size > 1").select("bucket", F.col("first.node").alias("leader")))
-    members = persisted(every.join(leaders, "bucket").where("node <> leader"))
+    members = persisted(every.join(leaders.hint("merge"), "bucket").where("node <> leader"))
     stars = members.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    likely = persisted(_likely(stars.join(side("a"), "a").join(side("b"), "b").where(fits), m, _floor(percent, m)))
+    likely = persisted(_likely(stars.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where(fits), m, _floor(percent, m)))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """node, text of the classes in ``nodes``; a doc_id may be repeated with other texts, so the set decides."""
@@ -335,20 +335,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(edges)
 
     content = classes.select("node", "n", "registers")
-    labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    likely_labels = persisted(_likely_labels(_celled(labelled, "bucket").join(content, "node"), "bucket", percent, m).distinct())
+    labelled = members.select("bucket", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    likely_labels = persisted(_likely_labels(_celled(labelled, "bucket").join(content.hint("merge"), "node"), "bucket", percent, m).distinct())
     if not likely_labels.isEmpty():
         clusters = components(likely_labels).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
-        of_label = classes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        of_label = classes.select("node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         clustered = persisted(of_label.join(clusters, "label"))
         full = content.join(texts_of(clustered.select("node")), "node")
         more = persisted(_links(_celled(clustered, "cluster").join(full, "node"), "cluster", shingle_words, percent, m))
         if not more.isEmpty():
             labels = components(edges.union(more))
 
-    grouped = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    grouped = classes.select("node", "rep").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = persisted(grouped.groupBy("label").agg(F.min("rep").alias("component_id")))
-    of_class = grouped.join(ids, "label").select("node", "component_id")
+    of_class = grouped.join(ids.hint("merge"), "label").select("node", "component_id")
     out = sketched.select("doc_id", "n", "node").join(of_class, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.lower(F.hex("node")).alias("class_id"))
