@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.storage import persisted
+from marlstone.storage import persisted, scratch_tables
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,24 +18,25 @@ def components(edges: DataFrame) -> DataFrame:
     that Spark splits its partition and the driver holds no table. Null nodes and loops are left out.
     """
     keyed = edges.where("a <> b").select(*[F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c) for c in ("a", "b")])
-    edges = persisted(keyed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        step = persisted(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
-        after = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = persisted(step.join(after.hint("merge"), "to", "left").select("node", F.coalesce("further", "to").alias("to")))
-        if nodes is None:
-            nodes = step.select("node", F.col("to").alias("label"))
-        else:
-            nodes = nodes.join(step.select(F.col("node").alias("label"), "to").hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        left = step.select(F.col("node").alias("a"), F.col("to").alias("ra"))
-        right = step.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        edges = persisted(edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        if edges.isEmpty():
-            nodes = persisted(nodes.select(F.col("node.id").alias("node"), F.col("label.id").alias("label")))
-            least = persisted(nodes.groupBy("label").agg(F.min("node").alias("least")))
-            return nodes.join(least.hint("merge"), "label").select("node", F.col("least").alias("label"))
+    with scratch_tables(edges.sparkSession) as written:
+        edges = written(keyed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        nodes = None
+        while nodes is None or not edges.isEmpty():
+            both = edges.union(edges.select("b", "a"))
+            step = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
+            after = step.select(F.col("node").alias("to"), F.col("to").alias("further")).hint("merge")
+            step = written(step.join(after, "to", "left").select("node", F.coalesce("further", "to").alias("to")))
+            if nodes is None:
+                nodes = step.select("node", F.col("to").alias("label"))
+            else:
+                moved = step.select(F.col("node").alias("label"), "to").hint("merge")
+                nodes = written(nodes.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+            left = step.select(F.col("node").alias("a"), F.col("to").alias("ra")).hint("merge")
+            right = step.select(F.col("node").alias("b"), F.col("to").alias("rb")).hint("merge")
+            edges = written(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        nodes = nodes.select(F.col("node.id").alias("node"), F.col("label.id").alias("label"))
+        least = written(nodes.groupBy("label").agg(F.min("node").alias("least")))
+        return persisted(nodes.join(least.hint("merge"), "label").select("node", F.col("least").alias("label")))
 
 
 def grouped(items: DataFrame, edges: DataFrame, id_col: str = "item_id") -> DataFrame:
