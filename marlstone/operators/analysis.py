@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,26 @@ def key_difference(a: DataFrame, b: DataFrame, key: str, only_a: str, only_b: st
 def replaced(old: DataFrame, new: DataFrame, column: str, owned: list[str]) -> DataFrame:
     """Rows of ``old`` whose ``column`` is not owned, and all of ``new``."""
     return old.where(~F.col(column).isin(owned)).unionByName(new)
+
+
+def nested(chain: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """inner, outer, n_outside, nested for each neighbour pair of ``chain``: distinct keys of the inner table that the outer lacks."""
+    rows = []
+    for (inner, a), (outer, b) in zip(chain, chain[1:]):
+        n = a.select(key).distinct().join(b.select(key), key, "left_anti").agg(F.count("*").alias("n_outside"))
+        rows.append(n.select(F.lit(inner).alias("inner"), F.lit(outer).alias("outer"), "n_outside", (F.col("n_outside") == 0).alias("nested")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def adequacy(counts: DataFrame, bucket: str, smallest: str, n: str, buckets: int, *, least: int, level: float = 0.95) -> DataFrame:
+    """Whether the smallest bucket can carry a claim: n_small, n_all, share, thin, empty, points, half_width, gap_floor.
+
+    It is thin under ``least`` instances or under an even share of the buckets. ``points`` is what one instance weighs, in per
+    cent; ``half_width`` the worst case of one proportion's interval, ``gap_floor`` that of a difference of two; null if empty.
+    """
+    small = F.coalesce(F.sum(F.when(F.col(bucket) == smallest, F.col(n))), F.lit(0)).cast("long")
+    sums = counts.agg(small.alias("n_small"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_all"))
+    share = F.coalesce(F.try_divide("n_small", "n_all"), F.lit(0.0))
+    width = F.try_divide(F.lit(50.0 * NormalDist().inv_cdf(0.5 + level / 2)), F.sqrt("n_small"))
+    thin = (F.col("n_small") < least) | (share < 1 / buckets)
+    return sums.select("n_small", "n_all", share.alias("share"), thin.alias("thin"), (F.col("n_small") == 0).alias("empty"), F.try_divide(F.lit(100.0), "n_small").alias("points"), width.alias("half_width"), (width * 2**0.5).alias("gap_floor"))

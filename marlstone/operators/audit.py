@@ -45,3 +45,9 @@ def spread(df: DataFrame, group: str, value: str, least: float) -> DataFrame:
     """group, spread, discriminates: whether the values differ by ``least`` at least."""
     out = df.groupBy(group).agg((F.max(value) - F.min(value)).alias("spread"))
     return out.withColumn("discriminates", F.col("spread") >= least)
+
+
+def missing_metrics(metrics: DataFrame, group: str, metric: str, required: list[str]) -> DataFrame:
+    """``group``, ``metric`` for each required metric that a group of ``metrics`` lacks. No rows: complete."""
+    wanted = metrics.select(group).distinct().select(group, F.explode(F.array(*map(F.lit, required))).alias(metric))
+    return wanted.join(metrics.select(group, metric), [group, metric], "left_anti")

@@ -77,6 +77,24 @@ def paired_heads(heads: DataFrame, hats: DataFrame, on: list[str], is_worn: Call
     return heads.join(ids, "det_id", "left").withColumn("compliant", F.coalesce("compliant", F.lit(False)))
 
 
+def _blocks(items: DataFrame, rows: int = 4000, least: int = 16) -> int:
+    """Blocks of about ``rows`` rows each that a list is cut into, so that tasks of an all-pairs join keep their size."""
+    return max(least, -(-items.count() // rows))
+
+
+def cosine_pairs(items: DataFrame, least: float, id_col: str = "item_id", vec_col: str = "vec") -> DataFrame:
+    """Pairs a < b with a cosine of ``least`` or more: a, b, cosine. Every pair is computed, in blocks of the list against all of it.
+
+    Null vectors are in no pair.
+    """
+    unit = items.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), v.normalised(F.col(vec_col)).alias("u"))
+    blocks = _blocks(unit)
+    left = unit.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("i"), F.struct("id", "u").alias("l"))
+    right = unit.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("i"), F.struct("id", "u").alias("r"))
+    met = left.join(right, "i").where(F.col("l.id") < F.col("r.id")).withColumn("cosine", v.cosine(F.col("l.u"), F.col("r.u")))
+    return met.where(F.col("cosine") >= least).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "cosine")
+
+
 def near_hash_pairs(items: DataFrame, distance: int, id_col: str = "item_id", hash_col: str = "hash") -> DataFrame:
     """Pairs a < b of 64-bit hashes that differ in at most ``distance`` bits: a, b, hamming.
 
@@ -93,7 +111,7 @@ def near_hash_pairs(items: DataFrame, distance: int, id_col: str = "item_id", ha
         met = keyed.select("key", F.col("id").alias("a"), F.col("h").alias("ha")).join(keyed.select("key", F.col("id").alias("b"), F.col("h").alias("hb")), "key").where("a < b")
         near = met.withColumn("hamming", hamming(F.col("ha"), F.col("hb"))).where(F.col("hamming") <= distance)
         return near.select("a", "b", "hamming").distinct()
-    blocks = 16
+    blocks = _blocks(own)
     left = own.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("i"), F.struct("id", "h").alias("l"))
     right = own.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("i"), F.struct("id", "h").alias("r"))
     met = left.join(right, "i").where(F.col("l.id") < F.col("r.id")).withColumn("hamming", hamming(F.col("l.h"), F.col("r.h")))
@@ -127,8 +145,9 @@ def same_class_overlap(boxes: DataFrame, on: list[str]) -> DataFrame:
     return boxes.select("ann_id").join(most, "ann_id", "left").select("ann_id", F.coalesce("max_io_min", F.lit(0.0)).alias("max_io_min"), F.coalesce("max_iou", F.lit(0.0)).alias("max_iou"))
 
 
-def nearest_hash(items: DataFrame, others: DataFrame, bands: int = 16) -> DataFrame:
+def nearest_hash(items: DataFrame, others: DataFrame) -> DataFrame:
     """Least Hamming distance of each item to another row of ``others``: item_id, distance. In blocks, one row each out."""
+    bands = _blocks(others)
     left = items.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bands - 1).cast("long"))).alias("i"), "item_id", "hash")
     right = others.select(F.pmod(F.xxhash64("item_id"), F.lit(bands)).alias("i"), F.col("item_id").alias("o"), F.col("hash").alias("oh"))
     return left.join(right, "i").where("item_id <> o").groupBy("item_id").agg(F.min(hamming(F.col("hash"), F.col("oh"))).alias("distance"))
