@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that rest on ranks, running sums or matching: run over several partitions too, adaptive execution on and off.
-PARTITIONED = "quartile_summary quartile_strata roc_auc spearman lowest_decile operating_sweep greedy_match average_precision z_ranks".split()
+PARTITIONED = "quartile_summary quartile_strata roc_auc operating_sweep".split()
 
 
 def connected(folder):
