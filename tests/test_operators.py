@@ -11,7 +11,7 @@ from marlstone.functions import geometry as g
 from marlstone.functions import hashing as h
 from marlstone.functions import vectors as v
 from marlstone.operators import aggregates as agg
-from marlstone.operators import allocate, audit, bootstrap, coco, graph, joins, matching, rules, sampling, text_audit
+from marlstone.operators import allocate, audit, bootstrap, coco, context, graph, joins, matching, rules, sampling, text_audit
 from marlstone.streaming import health
 
 BOX = "x int, y int, w int, h int"
@@ -248,3 +248,43 @@ def test_registered_interval_has_the_default_draws(spark):
 
     r = registry.queries()["bootstrap_interval"](spark, "/root/testdata/sf0.001").first()
     assert r.n_draws + r.n_undefined == 1000 and r.ci_low <= r.value <= r.ci_high
+
+
+def test_union_area_counts_overlaps_once(spark):
+    rng = random.Random(5)
+    cases = []
+    for n in (0, 1, 2, 5, 9):
+        found = []
+        for _ in range(n):
+            left, top = rng.randrange(20), rng.randrange(20)
+            found.append((left, top, left + rng.randrange(1, 15), top + rng.randrange(1, 15)))
+        cases.append(found + found[:1])
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c array<struct<l int, t int, r int, b int>>")
+    want = [len({(x, y) for left, t, r, b in c for x in range(left, r) for y in range(t, b)}) for c in cases]
+    assert [r[0] for r in rows.orderBy("i").select(context.union_area(F.col("c"))).collect()] == want
+
+
+def test_merge_of_maps(spark):
+    row = spark.sql("select map('a', map('x', '1', 'y', '2'), 'b', map('z', '3')) base, map('a', map('y', cast(null as string), 'w', '4'), 'c', map('q', '5')) over")
+    got = row.select(context.deep_merge(F.col("base"), F.col("over"), 2)).first()[0]
+    assert got == {"a": {"x": "1", "y": None, "w": "4"}, "b": {"z": "3"}, "c": {"q": "5"}}
+
+
+def test_targeting_verdicts(spark):
+    shares = spark.createDataFrame([("rain", 0.4), ("night", 0.3), ("fog", 0.3)], "scenario string, share double")
+    slices = spark.createDataFrame([("night", "dark"), ("fog", "grey")], "scenario string, slice string")
+    deltas = spark.createDataFrame([("up", "grey", 0.3), ("up", "dark", 0.2), ("even", "grey", 0.1), ("even", "dark", 0.1), ("down", "grey", 0.0), ("none", "dark", 0.4), ("alone", "grey", 0.1)], "metric string, slice string, delta double")
+    got = {r.metric: r for r in context.targeting_verdict(shares, slices, deltas).collect()}
+    assert {(r.leader, r.tested, r.target) for r in got.values()} == {("rain", "fog", "grey")}
+    assert {m: r.verdict for m, r in got.items()} == {"up": "targeted", "even": "more_data_not_targeted", "down": "target_slice_did_not_improve", "none": "target_slice_unmeasurable", "alone": "targeted"}
+    assert {r.verdict for r in context.targeting_verdict(shares, slices.where("scenario = 'snow'"), deltas).collect()} == {"budget_leader_has_no_slice"}
+
+
+def test_surroundings_and_records(spark):
+    boxes = spark.createDataFrame([(1, 1, "helmet", 10, 10, 8, 8), (2, 1, "head", 10, 18, 8, 8), (3, 2, "helmet", 10, 10, 8, 8), (4, 2, "head", 60, 18, 8, 8)], "ann_id long, image_id long, cls string, " + BOX)
+    assert {r.ann_id: r.below for r in context.something_below(boxes.where("cls = 'helmet'"), boxes, "image_id", "ann_id").collect()} == {1: True, 3: False}
+    a = spark.createDataFrame([(1, 1, None), (2, 1, 2), (3, 1, 1)], "k long, n long, m long")
+    b = spark.createDataFrame([(1, 1, None), (2, 2, None), (4, 1, 1)], "k long, n long, m long")
+    assert {r.k: r.status for r in context.record_consistency(a, b, "k", ["n", "m"]).collect()} == {1: "equal", 2: "n,m", 3: "not_derived", 4: "not_recorded"}
+    with pytest.raises(ValueError):
+        context.statistic("mode", "v")
