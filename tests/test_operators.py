@@ -50,6 +50,24 @@ def test_hamming_and_components(spark):
     assert {r.node: r.label for r in graph.components(chain).collect()} == {**{i: 0 for i in range(41)}, 80: 80, 85: 80, 90: 80}
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_components_against_a_walk(spark, kind, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_NODES", 7)
+    rng, nodes = random.Random(kind), range(90)
+    name = {"long": int, "string": lambda i: f"é{i}", "binary": lambda i: bytes([i, 255 - i])}[kind]
+    pairs = [(rng.randrange(90), rng.randrange(90)) for _ in range(45)] + [(7, 8), (7, 8), (8, 7)] + [(89, i) for i in range(50, 70)]
+    near = {i: {i} | {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in nodes}
+    while (grown := {i: set().union(*[near[k] for k in near[i]]) for i in nodes}) != near:
+        near = grown
+    met = {x for a, b in pairs if a != b for x in (a, b)}
+    want = {name(i): min(map(name, near[i])) for i in met}
+    rows = [(name(a), name(b)) for a, b in pairs] + [(None, name(3)), (name(3), None), (None, None)]
+    got = graph.components(spark.createDataFrame(rows, f"a {kind}, b {kind}").repartition(6)).collect()
+    plain = lambda x: bytes(x) if kind == "binary" else x
+    assert len(got) == len(want) and {plain(r.node): plain(r.label) for r in got} == want
+    assert graph.components(spark.createDataFrame([], f"a {kind}, b {kind}")).count() == 0
+
+
 def test_banded_pairs_equal_all_pairs(spark):
     rng = random.Random(2)
     hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
