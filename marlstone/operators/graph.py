@@ -57,7 +57,8 @@ def _forest(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label for each node of ``edges`` (a, b); all of a component share a label, its smallest node.
 
-    In each round the edges of a task are first united to stars, without a shuffle. Then every node follows the smallest
+    In each round the edges of a task (of a written table, so that small files share one) are first united to stars,
+    without a shuffle. Then every node follows the smallest
     node that any task gives it, twice, and the edges left between different choices are the next round's. Nodes are
     compared by hash, so that a long chain of growing ids shrinks by a share of it in each round. At the end the label of
     each component becomes its smallest node. No component lies in one task: minima are summed up before they are
@@ -66,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     left = edges.where("a <> b").select(*[F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id")).alias(c) for c in ("a", "b")])
     with scratch_tables(edges.sparkSession) as written:
-        nodes = None
+        left, nodes = written(left), None
         while nodes is None or not left.isEmpty():
             forest = written(_forest(left))
             step = written(forest.groupBy("node").agg(F.min("to").alias("to")))
