@@ -266,7 +266,7 @@ def _likely_labels(cells: DataFrame, group: str, percent: int, m: int) -> DataFr
 
 
 def _links(cells: DataFrame, group: str, size: int, percent: int, m: int) -> DataFrame:
-    """a, b: links between nodes of different labels, as many as connect what is connected in each cell."""
+    """a, b: pairs of labels with a link between them, as many as connect what is connected in each cell."""
     floor = _floor(percent, m)
 
     def run(key: tuple[pa.Scalar, ...], groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def _links(cells: DataFrame, group: str, size: int, percent: int, m: int) -> Dat
 
 
 def _cell_links(cell: pa.Table, pairs: list[tuple[int, np.ndarray]], size: int, percent: int) -> list[tuple[bytes, bytes]]:
-    label, node, texts = cell.column("label").to_pylist(), cell.column("node").to_pylist(), cell.column("text")
+    label, texts = cell.column("label").to_pylist(), cell.column("text")
     above: dict[bytes, bytes] = {}
     sets: dict[int, np.ndarray] = {}
     hashes, links = _WordHashes(), []
@@ -293,7 +293,7 @@ def _cell_links(cell: pa.Table, pairs: list[tuple[int, np.ndarray]], size: int,
             a, b = _root(above, label[i]), _root(above, label[k])
             if a != b and linked(own(i), own(k), percent):
                 above[max(a, b)] = min(a, b)
-                links.append((node[i], node[k]))
+                links.append((label[i], label[k]))
     return links
 
 
@@ -339,12 +339,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     likely_labels = persisted(_likely_labels(_celled(labelled, "bucket").join(content.hint("merge"), "node"), "bucket", percent, m).distinct())
     if not likely_labels.isEmpty():
         clusters = components(likely_labels).select(F.col("node").alias("label"), F.col("label").alias("cluster"))
-        of_label = classes.select("node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        clustered = persisted(of_label.join(clusters, "label"))
+        named = persisted(classes.select("node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        clustered = persisted(named.join(clusters.hint("merge"), "label"))
         full = content.join(texts_of(clustered.select("node")), "node")
         more = persisted(_links(_celled(clustered, "cluster").join(full, "node"), "cluster", shingle_words, percent, m))
         if not more.isEmpty():
-            labels = components(edges.union(more))
+            joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+            labels = persisted(named.join(joined.hint("merge"), "label", "left").select("node", F.coalesce("joined", "label").alias("label")))
 
     grouped = classes.select("node", "rep").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = persisted(grouped.groupBy("label").agg(F.min("rep").alias("component_id")))
