@@ -29,6 +29,13 @@ def persisted(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """``df`` written into the shared folder and read again, for plans that are run after this call. It goes with the folder."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A function that writes a table into the shared folder and reads it; the tables go at the end.
