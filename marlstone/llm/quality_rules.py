@@ -118,7 +118,7 @@ def references(rows: DataFrame) -> DataFrame:
     """lang, classes, words (array of word and n), total of each language with a reference; ``rows`` has lang and text (binary)."""
     counts = written_table(rows.select("lang", "text").mapInArrow(_counted, "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
     is_class = F.substring("key", 1, 1) == F.lit(b"\x00")
-    totals = counts.groupBy("lang").agg(F.sum(F.when(~is_class, F.col("n"))).alias("total")).where(F.col("total") >= LEAST_REFERENCE)
+    totals = written_table(counts.groupBy("lang").agg(F.sum(F.when(~is_class, F.col("n"))).alias("total")).where(F.col("total") >= LEAST_REFERENCE))
     common = counts.join(totals, "lang").where(is_class | (F.col("n") * SHARE >= F.col("total")))
     return common.groupBy("lang").agg(F.sort_array(F.collect_list(F.when(is_class, F.struct("key", "n")))).alias("classes"), F.sort_array(F.collect_list(F.when(~is_class, F.struct("key", "n")))).alias("words"), F.first("total").alias("total"))
 
