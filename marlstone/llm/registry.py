@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, conversation, decontaminate, exact_dedup, line_dedup, near_dedup, pii, quality, quality_rules, toxicity, url_filter, warc
+from marlstone.llm import bpe, collocations, conversation, decontaminate, exact_dedup, line_dedup, near_dedup, pii, quality, quality_rules, toxicity, url_filter, warc
 from marlstone.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -70,8 +74,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op5_line_dedup, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity, op10_pii, op12_quality_rules, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_bpe, op4_quality, op5_line_dedup, op6_url_filter, op7_warc, op8_decontaminate, op9_toxicity, op10_pii, op11_collocations, op12_quality_rules, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_near_dedup": near_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op12_quality_rules": quality_rules.ORACLE_SQL, "op13_conversation_repair": conversation.ORACLE_SQL}
+    return {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op2_near_dedup": near_dedup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_decontaminate": decontaminate.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_quality_rules": quality_rules.ORACLE_SQL, "op13_conversation_repair": conversation.ORACLE_SQL}
