@@ -39,6 +39,12 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).select("ann_id", "image_id", "cls", "x", "y", "w", "h")
 
 
+def crowds(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``crowd``: every seventh annotation, four times as wide and high."""
+    crowd = F.col("ann_id") % 7 == 0
+    return rows.withColumn("crowd", crowd).withColumns({c: F.when(crowd, 4 * F.col(c)).otherwise(F.col(c)) for c in ("w", "h")})
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, width, height, scenario."""
     return table(spark, sf_dir, "orders").select(

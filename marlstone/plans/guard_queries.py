@@ -92,4 +92,4 @@ def missing_interval_metrics(spark, sf_dir):
 @query()
 def auc_interval(spark, sf_dir):
     """Percentile interval of an area under the ROC curve over resampled rows; tests hold it against a loop."""
-    return bootstrap.auc_interval(scored(spark, sf_dir), "doc_id", "label", "score")
+    return bootstrap.auc_interval(scored(spark, sf_dir), "label", "score")

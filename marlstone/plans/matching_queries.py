@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import geometry as g
 from marlstone.operators import aggregates as agg
-from marlstone.operators import coco, joins, matching
-from marlstone.plans.fixtures import annotations, detections, sql
+from marlstone.operators import bootstrap, coco, joins, matching
+from marlstone.plans.fixtures import annotations, crowds, detections, images, sql
 from marlstone.plans.registry import query
 
 _I = "greatest(least(d.x + d.w, a.x + a.w) - greatest(d.x, a.x), 0) * greatest(least(d.y + d.h, a.y + a.h) - greatest(d.y, a.y), 0)"
@@ -150,3 +150,15 @@ def miss_attribution(spark, sf_dir):
 def average_precision(spark, sf_dir):
     """Average precision by arm, class and area over ten IoU thresholds; tests hold it against hand arithmetic."""
     return coco.average_precision(detections(spark, sf_dir), annotations(spark, sf_dir))
+
+
+@query()
+def average_precision_with_crowds(spark, sf_dir):
+    """The same where every seventh truth stands for a crowd; tests hold it against a loop."""
+    return coco.average_precision(detections(spark, sf_dir), crowds(annotations(spark, sf_dir)))
+
+
+@query()
+def ap_interval(spark, sf_dir):
+    """Percentile intervals of average precision over 1000 resamples of all images, drawn with replacement; tests hold it against a loop."""
+    return bootstrap.ap_interval(detections(spark, sf_dir), annotations(spark, sf_dir), images(spark, sf_dir))

@@ -194,7 +194,6 @@ def test_bootstrap_interval_holds_the_value(spark):
     df = spark.range(400).select("id", (F.col("id") % 4 == 0).cast("int").alias("p"), F.lit(1).alias("w"))
     r = bootstrap.rate_interval(df, "id", "p", "w", draws=200).first()
     assert r.value == 0.25 and 0.18 < r.ci_low < 0.25 < r.ci_high < 0.32 and r.n_draws == 200 and r.n_undefined == 0
-    assert math.isclose(sum(k for d, _, k in bootstrap.exact_draws(50, 3, 1) if d == 0), 50)
 
 
 def test_vectors(spark):
@@ -244,23 +243,6 @@ def test_mask_gate_and_unit_reasons(spark):
     assert got.c0 == [] and got.c2 == [] and got.c1 == ["NOT_PERSON", "NOT_TRAIN", "NOT_PREFERRED_TIER", "VOC_FLAGGED", "PERSON_TOO_SMALL", "SOURCE_PERSON_TOO_HIGH", "PERSON_TOO_HORIZONTAL", "HEAD_TOO_LOW", "HEAD_TOO_WIDE", "INVALID_HEAD_BOX", "MASK_TOUCHES_TOP", "MASK_TOUCHES_SIDE"]
 
 
-def test_auc_interval_against_a_loop(spark):
-    rng = random.Random(3)
-    data = [(i, int(i < 4), rng.randrange(5) / 4) for i in range(9)]
-    df = spark.createDataFrame(data, "id long, y int, s double")
-    counts = {r.id: r.k for r in df.select("id", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: bootstrap.poisson_count(bootstrap._uniform(7, i, "id"))).alias("k")).collect()}
-
-    def auc(weight):
-        cells = [(weight(a) * weight(b), (s > u) + (s == u) / 2) for a, y, s in data if y for b, z, u in data if not z]
-        return sum(k * v for k, v in cells) / sum(k for k, _ in cells) if any(k for k, _ in cells) else None
-
-    each = sorted(v for d in range(60) if (v := auc(lambda i: counts[i][d])) is not None)
-    at = lambda q: (lambda p: each[int(p)] + (p - int(p)) * (each[min(int(p) + 1, len(each) - 1)] - each[int(p)]))(q * (len(each) - 1))
-    r = bootstrap.auc_interval(df, "id", "y", "s", draws=60, seed=7).first()
-    assert r.value == pytest.approx(auc(lambda i: 1)) and r.n_draws == len(each) and r.n_undefined == 60 - len(each)
-    assert r.ci_low == pytest.approx(at(0.025)) and r.ci_high == pytest.approx(at(0.975))
-
-
 def test_registered_interval_has_the_default_draws(spark):
     from marlstone.plans import registry
 
