@@ -28,7 +28,7 @@ from marlstone.llm.common import whole_text
 from marlstone.storage import shared_dir
 
 #: Words of the longest phrases, least occurrences of a phrase, shards, phrases of a language that are returned.
-LONGEST, LEAST, SHARDS, TOP = 3, 10, 3, 2000
+LONGEST, LEAST, SHARDS, TOP = 3, 10, 2, 2000
 #: Bits of a filter: 4 MB. More active phrases than bits make the scans count more, not wrongly.
 FILTER_BITS = 1 << 25
 #: A longer candidate with this share (percent) of a candidate's occurrences takes its place.
@@ -162,7 +162,7 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("lang"), whole_text(F.col(f"`{text_col}`")).cast("binary").alias("text"), (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
     corpus = folder.write(rows, "shards", "shard")
-    totals: dict[int, tuple[str, DataFrame]] = {}
+    totals: dict[int, tuple[int, DataFrame]] = {}  # by length: the step that summed it up last, and its counts
     last: list[DataFrame] = []
     history: list[Filters] = []
     now: Filters = {}
@@ -174,23 +174,22 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             break
         shared = spark.sparkContext.broadcast((now, before))
         found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(shared, max(sizes), 1 in sizes, flush), "lang string, size byte, phrase string, n long")
-        part = folder.write(found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), f"step-{step}", "size")
+        for k in sizes:  # counts so far are summed with the new ones, in the same shuffle
+            if k in totals:
+                found = found.unionByName(totals[k][1].select("lang", F.lit(k).cast("byte").alias("size"), "phrase", "n"))
+        summed = folder.write(found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), f"step-{step}", "size")
+        shared.unpersist()
         history.append(now)
         now = dict(now)
         for k in sizes:
-            own = part.where(F.col("size") == k).select("lang", "phrase", "n")
+            own = summed.where(F.col("size") == k).select("lang", "phrase", "n")
             if k == longest:
                 last.append(own)
                 continue
-            name, held = totals.get(k, (None, None))
-            if held is None:
-                totals[k] = (None, own)
-            else:
-                totals[k] = (f"totals-{k}-{step}", folder.write(held.unionByName(own).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), f"totals-{k}-{step}"))
-                if name:
-                    folder.drop(name)
-            now[k] = _filter(totals[k][1], least, filter_bits)
-        shared.unpersist()
+            if k in totals:
+                folder.drop(f"step-{totals[k][0]}/size={k}")
+            totals[k] = (step, own)
+            now[k] = _filter(own, least, filter_bits)
         step += 1
     none = spark.createDataFrame([], "lang string, phrase string, n long")
     out = {k: totals[k][1] if k in totals else none for k in range(1, longest)}
