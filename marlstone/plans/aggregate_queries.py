@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import geometry as g
+from marlstone.functions.hashing import hash_fold
 from marlstone.operators import aggregates as agg
-from marlstone.operators import bootstrap
+from marlstone.operators import bootstrap, probe
 from marlstone.plans.fixtures import annotations, detections, images, sql, table
 from marlstone.plans.registry import query
 
@@ -97,3 +98,23 @@ def bootstrap_interval(spark, sf_dir):
     """Percentile interval of a rate over resampled images; draws are undefined where the denominator is 0."""
     per_image = detections(spark, sf_dir).where("arm = 0").groupBy("image_id").agg(F.count_if(F.col("score") >= 0.5).alias("part"), F.count("*").alias("whole"))
     return bootstrap.rate_interval(per_image, "image_id", "part", "whole", seed=1337)
+
+
+def probed(spark, sf_dir):
+    """vec_id, features, label (classes of odd number against even ones), pair (vectors that belong together)."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("label"))
+    return rows.withColumn("pair", F.floor(F.col("vec_id") / 2))
+
+
+@query()
+def probe_auc(spark, sf_dir):
+    """A linear probe's area under the ROC curve on pairs that its fit hasn't seen, with its interval; tests hold the fit against a dense one."""
+    return probe.held_out_auc(probed(spark, sf_dir), "features", "label", "pair")
+
+
+@query()
+def probe_scores(spark, sf_dir):
+    """Each vector's score by the probe, and whether its pair was held out."""
+    rows = probed(spark, sf_dir)
+    fitted, _ = probe.evaluated(rows, "features", "label", "pair")
+    return rows.select("vec_id", (hash_fold(1337, F.col("pair"), 5, ":") == 0).alias("held_out"), F.round(fitted.score("features"), 6).alias("score"))
