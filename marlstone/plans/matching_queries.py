@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import geometry as g
 from marlstone.operators import aggregates as agg
-from marlstone.operators import bootstrap, coco, joins, matching
+from marlstone.operators import bootstrap, coco, compliance, joins, matching
 from marlstone.plans.fixtures import annotations, crowds, detections, images, sql
 from marlstone.plans.registry import query
 
@@ -162,3 +162,64 @@ def average_precision_with_crowds(spark, sf_dir):
 def ap_interval(spark, sf_dir):
     """Percentile intervals of average precision over 1000 resamples of all images, drawn with replacement; tests hold it against a loop."""
     return bootstrap.ap_interval(detections(spark, sf_dir), annotations(spark, sf_dir), images(spark, sf_dir))
+
+
+_GRID = [0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9]
+_WORN = "abs((t.x + t.w / 2 - (h.x + h.w / 2)) / h.w) <= 0.6 AND (t.y + t.h / 2 - (h.y + h.h / 2)) / h.h BETWEEN -1 AND 0.4 AND t.w / h.w BETWEEN 0.4 AND 2.5"
+
+
+def grid_sql(verdicts: str) -> str:
+    """Recomputes every threshold from the detections over it. ``verdicts`` is a SELECT of v(tau, image_id, det_id, score, cls, x, y, w, h, ok) from kept."""
+    return f"""
+, taus AS (SELECT unnest([0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9]::DOUBLE[]) AS tau),
+kept AS (SELECT tau, d.* FROM det d, taus WHERE arm = 0 AND cls <> 'person' AND score >= tau),
+v AS ({verdicts}),
+cand AS (SELECT d.tau, d.image_id, d.ok, d.det_id, d.score, d.cls, d.x, d.y, d.w, d.h, a.ann_id, {_I} / (d.w * d.h + a.w * a.h - {_I}) AS iou FROM v d JOIN ann a ON d.image_id = a.image_id AND a.cls = CASE WHEN d.ok THEN 'helmet' ELSE 'head' END AND {_I} > 0),
+dd AS (SELECT tau, image_id, ok, det_id, row_number() OVER (PARTITION BY tau, image_id, ok ORDER BY score DESC, cls, x, y, w, h, det_id) AS k, opts FROM (
+  SELECT tau, image_id, ok, det_id, score, cls, x, y, w, h, list(ann_id ORDER BY iou DESC, ann_id DESC) AS opts FROM cand WHERE iou >= 0.5 GROUP BY ALL)),
+fold AS (
+  SELECT tau, image_id, ok, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS ann_id FROM (SELECT DISTINCT tau, image_id, ok FROM dd)
+  UNION ALL
+  SELECT f.tau, f.image_id, f.ok, dd.k, CASE WHEN o IS NOT NULL THEN list_append(f.used, o) ELSE f.used END, o
+  FROM fold f JOIN dd ON f.tau = dd.tau AND f.image_id = dd.image_id AND f.ok = dd.ok AND dd.k = f.k + 1, LATERAL (SELECT list_filter(dd.opts, lambda e: NOT list_contains(f.used, e))[1] AS o)),
+m AS (SELECT tau, count(*) FILTER (WHERE ok) AS true_compliant, count(*) FILTER (WHERE NOT ok) AS matched_bare_heads FROM fold WHERE ann_id IS NOT NULL GROUP BY tau),
+n AS (SELECT tau, count(*) FILTER (WHERE ok) AS n_compliant, count(*) FILTER (WHERE NOT ok) AS n_non_compliant FROM v GROUP BY tau)
+SELECT 0 AS arm, tau AS threshold, coalesce(n_compliant, 0) AS n_compliant, coalesce(n_non_compliant, 0) AS n_non_compliant, coalesce(true_compliant, 0) AS true_compliant, coalesce(matched_bare_heads, 0) AS matched_bare_heads,
+       b AS n_bare_heads, round(coalesce(matched_bare_heads, 0) / b, 9) AS bare_head_recall, round(coalesce(true_compliant, 0) / nullif(n_compliant, 0), 9) AS compliance_precision
+FROM taus LEFT JOIN n USING (tau) LEFT JOIN m USING (tau), (SELECT count(*) AS b FROM ann WHERE cls = 'head')"""
+
+
+def _grid(spark, sf_dir, mode):
+    det = detections(spark, sf_dir).where("arm = 0")
+    out = compliance.sweep(det, annotations(spark, sf_dir), mode, split="validation", thresholds=_GRID)
+    return out.withColumns({c: F.round(c, 9) for c in ("bare_head_recall", "compliance_precision")})
+
+
+@query(recursive(grid_sql(f"SELECT h.tau, h.image_id, h.det_id, h.score, h.cls, h.x, h.y, h.w, h.h, EXISTS (SELECT 1 FROM kept t WHERE t.tau = h.tau AND t.image_id = h.image_id AND t.cls = 'helmet' AND {_WORN}) AS ok FROM kept h WHERE h.cls = 'head'")))
+def geometric_sweep_grid(spark, sf_dir):
+    """Operating points of the geometric mode at given thresholds."""
+    return _grid(spark, sf_dir, "geometric_pairing")
+
+
+@query(recursive(grid_sql("SELECT tau, image_id, det_id, score, cls, x, y, w, h, cls = 'helmet' AS ok FROM kept")))
+def class_direct_sweep_grid(spark, sf_dir):
+    """Operating points where the class is the status."""
+    return _grid(spark, sf_dir, "class_direct")
+
+
+@query()
+def geometric_sweep(spark, sf_dir):
+    """Operating points of both arms at every distinct score; a test recomputes each threshold."""
+    return compliance.sweep(detections(spark, sf_dir), annotations(spark, sf_dir), "geometric_pairing", split="validation")
+
+
+@query(sql(f"""
+, kept AS (SELECT * FROM det WHERE arm = 0 AND score >= 0.5 AND cls <> 'person'),
+v AS (SELECT 'class_direct' AS mode, image_id, cls = 'helmet' AS ok FROM kept UNION ALL
+      SELECT 'geometric_pairing', h.image_id, EXISTS (SELECT 1 FROM kept t WHERE t.image_id = h.image_id AND t.cls = 'helmet' AND {_WORN}) FROM kept h WHERE h.cls = 'head')
+SELECT mode, image_id, count(*) FILTER (WHERE ok) AS n_compliant, count(*) FILTER (WHERE NOT ok) AS n_non_compliant, round(count(*) FILTER (WHERE ok) / count(*), 9) AS compliance_rate FROM v GROUP BY ALL"""))
+def compliance_by_mode(spark, sf_dir):
+    """Each image's verdicts at 0.5 by every registered mode."""
+    det = detections(spark, sf_dir).where("arm = 0")
+    parts = [compliance.derived(det, name, 0.5, "image_id").select(F.lit(name).alias("mode"), "image_id", "n_compliant", "n_non_compliant", F.round("compliance_rate", 9).alias("compliance_rate")) for name in ("class_direct", "geometric_pairing")]
+    return parts[0].unionByName(parts[1])
