@@ -11,18 +11,16 @@ from marlstone.plans.fixtures import PRIMARY, annotations, detections, images, s
 from marlstone.plans.join_queries import VEC
 from marlstone.plans.registry import query
 
-#: Measured masks as whole numbers of the annotation's id: name, SQL for the value; the text is SQL to both engines.
+#: Measured masks from the annotation's box and id: name, SQL for the value; the text is SQL to both engines.
 _MASK = {
-    "iou_score": "(ann_id * 7 % 40 + 70) / 100", "object_score_logit": "(ann_id * 11 % 50 + 160) / 10", "outside_box_ratio": "(ann_id * 13 % 20) / 100", "second_component_ratio": "(ann_id * 17 % 30) / 100",
+    "iou_score": "(x % 41 + 60) / 100", "object_score_logit": "(y % 50 + 150) / 10", "outside_box_ratio": "(ann_id * 13 % 20) / 100", "second_component_ratio": "(ann_id * 17 % 30) / 100",
     "hole_fill_ratio": "(ann_id * 19 % 50 + 90) / 100", "mask_to_box_coverage": "(ann_id * 23 % 90 + 10) / 100", "solidity": "(ann_id * 29 % 60 + 40) / 100", "mask_area_px": "w * h", "edge_touch_top": "(ann_id * 31 % 100) / 100", "edge_touch_side": "(ann_id * 37 % 100) / 100",
 }
-_M = rules.MASK
-_BETWEEN = " ".join(f"WHEN '{c}' THEN mask_to_box_coverage NOT BETWEEN {a} AND {b}" for c, (a, b) in _M["mask_to_box_coverage"].items())
-_SOLID = " ".join(f"WHEN '{c}' THEN solidity < {v}" for c, v in _M["solidity"].items())
+#: The bounds stand here once more, as text.
 _TESTS = {
-    "iou_score": f"iou_score < {_M['iou_score']}", "object_score_logit": f"object_score_logit < {_M['object_score_logit']}", "outside_box_ratio": f"outside_box_ratio > {_M['outside_box_ratio']}", "second_component_ratio": f"second_component_ratio > {_M['second_component_ratio']}",
-    "hole_fill_ratio": f"hole_fill_ratio > {_M['hole_fill_ratio']}", "mask_to_box_coverage": f"CASE cls {_BETWEEN} END", "solidity": f"CASE cls {_SOLID} END", "mask_area_px": f"mask_area_px < {_M['mask_area_px']}",
-    "edge_touch_top": f"cls IN ('helmet', 'head') AND edge_touch_top > {_M['edge_touch_top']['head']}", "edge_touch_side": f"cls = 'person' AND edge_touch_side > {_M['edge_touch_side']['person']}",
+    "iou_score": "iou_score < 0.8", "object_score_logit": "object_score_logit < 18", "outside_box_ratio": "outside_box_ratio > 0.15", "second_component_ratio": "second_component_ratio > 0.25", "hole_fill_ratio": "hole_fill_ratio > 1.3",
+    "mask_to_box_coverage": "CASE cls WHEN 'helmet' THEN mask_to_box_coverage NOT BETWEEN 0.2 AND 0.8 WHEN 'head' THEN mask_to_box_coverage NOT BETWEEN 0.3 AND 0.85 ELSE mask_to_box_coverage NOT BETWEEN 0.15 AND 0.85 END",
+    "solidity": "solidity < CASE cls WHEN 'helmet' THEN 0.6 WHEN 'head' THEN 0.7 ELSE 0.55 END", "mask_area_px": "mask_area_px < 300", "edge_touch_top": "cls IN ('helmet', 'head') AND edge_touch_top > 0.4", "edge_touch_side": "cls = 'person' AND edge_touch_side > 0.75",
 }
 
 
@@ -38,9 +36,9 @@ def mask_gate(spark, sf_dir):
 
 
 _UNIT = {
-    "NOT_PERSON": "cls <> 'person'", "NOT_TRAIN": "ann_id % 5 = 0", "NOT_PREFERRED_TIER": "ann_id % 7 = 0", "VOC_FLAGGED": "ann_id % 11 = 0 OR ann_id % 13 = 0", "PERSON_TOO_SMALL": "h < 80", "SOURCE_PERSON_TOO_HIGH": "(y + h) / 416 < 0.65",
-    "PERSON_TOO_HORIZONTAL": "h / greatest(w, 1) < 1.3", "HEAD_TOO_LOW": "(ann_id % 40 + 10) / greatest(h, 1) > 0.35", "HEAD_TOO_WIDE": "(ann_id % 60 + 1) / greatest(w, 1) > 0.6", "INVALID_HEAD_BOX": "x - 40 + ann_id % 60 + 1 <= 0",
-    "MASK_TOUCHES_TOP": "ann_id % 23 / 100 > 0.1", "MASK_TOUCHES_SIDE": "ann_id % 29 / 100 > 0.1",
+    "NOT_PERSON": "cls <> 'person'", "NOT_TRAIN": "ann_id % 5 = 0", "NOT_PREFERRED_TIER": "ann_id % 7 = 0", "VOC_FLAGGED": "ann_id % 11 = 0 OR ann_id % 13 = 0", "PERSON_TOO_SMALL": "h < 60", "SOURCE_PERSON_TOO_HIGH": "(y + h) / 416 < 0.6",
+    "PERSON_TOO_HORIZONTAL": "h / greatest(w, 1) < 1.25", "HEAD_TOO_LOW": "(ann_id % 40 + 10) / greatest(h, 1) > 0.3", "HEAD_TOO_WIDE": "(ann_id % 60 + 1) / greatest(w, 1) > 0.5", "INVALID_HEAD_BOX": "x - 40 + ann_id % 60 + 1 <= 0",
+    "MASK_TOUCHES_TOP": "ann_id % 23 / 100 > 0.15", "MASK_TOUCHES_SIDE": "ann_id % 29 / 100 > 0.15",
 }
 
 

@@ -154,3 +154,66 @@ def z_order_invariant(spark, sf_dir):
     key = lambda i: F.struct((i["y"] + i["h"]).alias("b"), i["id"].alias("i"))
     keys = F.transform("instances", key)
     return records(spark, sf_dir).select("image_id", (F.array_sort(keys) == keys).alias("in_z_order"))
+
+
+#: Measured fields of an instance; the text is SQL to both engines.
+_FIELDS = {
+    "kind": "CASE WHEN ann_id % 9 = 4 THEN 'hard_negative' WHEN ann_id % 9 < 3 THEN 'existing' WHEN ann_id % 9 < 8 THEN 'pasted' END", "mask_ok": "(x + y) % 8 <> 0", "retries_exhausted": "(x * 3 + h) % 29 = 0",
+    "behind": "y % 5 = 0", "poke": "CAST(h % 40 AS DOUBLE) / 100", "seam": "CAST(w % 9 AS DOUBLE)", "annotation_iou": "CAST(x % 12 AS DOUBLE) / 100",
+}
+_INST_0, _PR = _INST.strip().split("\npr AS")
+_MEASURED_INST = f"""{_INST_0.replace("inst AS (", "inst_0 AS (", 1)}
+inst AS (SELECT * REPLACE (kept AND coalesce(kind, 'pasted') <> 'hard_negative' AS kept) FROM (SELECT *, {", ".join(f"{e} AS {k}" for k, e in _FIELDS.items())} FROM inst_0)),
+pr AS{_PR}"""
+#: The bounds stand here once more, as text.
+_MEASURED_REASONS = """
+  UNION ALL SELECT image_id, 'BAD_MASK_COVERAGE', 3.5, ann_id, 1 FROM inst WHERE kept AND coverage NOT BETWEEN CASE cls WHEN 'helmet' THEN 0.2 WHEN 'head' THEN 0.3 ELSE 0.15 END AND CASE cls WHEN 'person' THEN 0.85 ELSE 0.9 END
+  UNION ALL SELECT image_id, 'SAM2_MASK_REJECTED', 3.5, ann_id, 2 FROM inst WHERE kept AND coalesce(kind, 'pasted') = 'pasted' AND NOT mask_ok
+  UNION ALL SELECT image_id, 'PLACEMENT_RETRIES_EXHAUSTED', 3.5, ann_id, 3 FROM inst WHERE kept AND retries_exhausted
+  UNION ALL SELECT image_id, 'BAD_SIZE_RATIO', 5.5, 0, 0 FROM (SELECT *, row_number() OVER (PARTITION BY image_id, ai ORDER BY bi) AS k FROM pr WHERE ac IN ('head', 'helmet') AND bc = 'person' AND i / greatest(aw * ah, 1) >= 0.6) WHERE k = 1
+    AND (aw * ah / greatest(bw * bh, 1) NOT BETWEEN 0.02 AND CASE ac WHEN 'head' THEN 0.4 ELSE 0.6 END OR ac = 'head' AND (aw / greatest(bw, 1) NOT BETWEEN 0.2 AND 0.8 OR (ay - by_) / greatest(bh, 1) > 0.5))
+  UNION ALL SELECT image_id, 'POKES_THROUGH', 6.5, ann_id, 1 FROM inst WHERE behind AND poke BETWEEN 0.05 AND 0.25
+  UNION ALL SELECT image_id, 'SEAM_ARTIFACT', 6.5, ann_id, 2 FROM inst WHERE seam > 6
+  UNION ALL SELECT image_id, 'HARD_NEGATIVE_OVERLAPS_ANNOTATION', 6.7, ann_id, 0 FROM inst WHERE kind = 'hard_negative' AND annotation_iou > 0.05"""
+_MEASURED = f", {_MEASURED_INST}, inst_v AS (SELECT * FROM inst), pr_v AS (SELECT * FROM pr), rs AS ({_reasons_sql(_BASE)}{_MEASURED_REASONS}), "
+
+
+def measured_records(spark, sf_dir):
+    """``records`` whose instances have all measured fields."""
+    rows = annotations(spark, sf_dir).select("image_id", F.col("ann_id").alias("id"), F.struct(*[F.expr(e.replace("<>", "!=")).alias(k) for k, e in _FIELDS.items()]).alias("m"))
+    told = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "m"))).alias("m"))
+    with_fields = lambda i: F.struct(*[i[c].alias(c) for c in ("id", "cls", "x", "y", "w", "h", "kept", "visible", "coverage", "luma")], *[F.col("m")[i["id"]][k].alias(k) for k in _FIELDS])
+    return records(spark, sf_dir).join(told, "image_id").withColumn("instances", F.transform("instances", with_fields)).drop("m")
+
+
+@query(sql(_MEASURED + """
+d AS (SELECT image_id, r, min(struct_pack(o1 := o1, o2 := o2, o3 := o3)) AS o FROM rs GROUP BY ALL)
+SELECT i.image_id, coalesce(string_agg(r, ',' ORDER BY o), '') AS reject_reasons, arg_min(r, o) AS first_reason, count(r) = 0 AS passed
+FROM (SELECT DISTINCT image_id FROM inst) i LEFT JOIN d USING (image_id) GROUP BY i.image_id"""))
+def measured_record_filter(spark, sf_dir):
+    """Every rule, those over measured masks, placement, sizes, seams and hard negatives too."""
+    out = rules.judged_measured(measured_records(spark, sf_dir))
+    return out.select("image_id", F.array_join("reject_reasons", ",").alias("reject_reasons"), "first_reason", "passed")
+
+
+@query(sql(_MEASURED + "n AS (SELECT r, count(DISTINCT image_id) AS n FROM rs GROUP BY r) SELECT r AS reason, n FROM n"))
+def measured_reason_counts(spark, sf_dir):
+    """Records that each reason rejects, alone or among others."""
+    out = rules.judged_measured(measured_records(spark, sf_dir))
+    return out.select(F.explode("reject_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(sql("""
+, l AS (SELECT p.ann_id, count(*) AS n, min(struct_pack(ann_id := c.ann_id, x := c.x, y := c.y, w := c.w, h := c.h)) AS c FROM ann p JOIN ann c ON p.image_id = c.image_id AND p.cls = 'person' AND c.cls = 'helmet'
+        AND c.x + c.w / 2 BETWEEN p.x AND p.x + p.w AND c.y + c.h / 2 BETWEEN p.y AND p.y + p.h * 0.55::DOUBLE GROUP BY p.ann_id)
+SELECT p.ann_id, coalesce(n, 0) AS n_children, CASE WHEN n IS NULL THEN 'no_child' WHEN n > 1 THEN 'too_many_children' WHEN p.ann_id % 7 = 0 THEN 'NOT_PREFERRED_TIER' WHEN p.h < 60 THEN 'PERSON_TOO_SMALL' WHEN (p.y + p.h) / 416 < 0.6 THEN 'SOURCE_PERSON_TOO_HIGH'
+         WHEN p.h / greatest(p.w, 1) < 1.25 THEN 'PERSON_TOO_HORIZONTAL' WHEN (c.y + c.h / 2 - p.y) / greatest(p.h, 1) > 0.3 THEN 'HEAD_TOO_LOW' WHEN c.w / greatest(p.w, 1) > 0.5 THEN 'HEAD_TOO_WIDE' END AS reason
+FROM ann p LEFT JOIN l USING (ann_id) WHERE p.cls = 'person'"""))
+def linked_unit_eligibility(spark, sf_dir):
+    """Persons with exactly one helmet linked to them, then the first of the unit's own reasons."""
+    ann = annotations(spark, sf_dir)
+    units = rules.linked_units(ann.where("cls = 'person'"), ann.where("cls = 'helmet'"))
+    no = F.lit(False)
+    person = F.struct("cls", F.lit("train").alias("split"), (F.col("ann_id") % 7 != 0).alias("preferred"), no.alias("truncated"), no.alias("difficult"), *"xywh", F.lit(0.0).alias("touch_top"), F.lit(0.0).alias("touch_side"))
+    own = F.get(rules.unit_reasons(person, F.col("child"), F.lit(416)), F.lit(0))
+    return units.select("ann_id", "n_children", F.coalesce("link_reason", own).alias("reason"))

@@ -221,7 +221,7 @@ def test_measured_rules(spark):
     head = lambda y=0, w=40, coverage=0.5, kind="pasted", ok=True, out=False, behind=False, poke=0.1, seam=1.0, iou=0.5: (2, "head", 5, y, w, 50, True, 1.0, coverage, 99.0, kind, ok, out, behind, poke, seam, iou)
     wanted = [
         (head(), []), (head(coverage=0.96), ["BAD_MASK_COVERAGE"]), (head(ok=False), ["SAM2_MASK_REJECTED"]), (head(ok=False, kind="existing"), []), (head(out=True), ["PLACEMENT_RETRIES_EXHAUSTED"]),
-        (head(y=136), ["BAD_SIZE_RATIO"]), (head(w=12), ["BAD_SIZE_RATIO"]), (head(behind=True), ["POKES_THROUGH"]), (head(behind=True, poke=0.21), []), (head(seam=5.6), ["SEAM_ARTIFACT"]),
+        (head(y=160), ["BAD_SIZE_RATIO"]), (head(w=12), ["BAD_SIZE_RATIO"]), (head(behind=True), ["POKES_THROUGH"]), (head(behind=True, poke=0.3), []), (head(seam=6.5), ["SEAM_ARTIFACT"]),
         (head(kind="hard_negative"), ["HARD_NEGATIVE_OVERLAPS_ANNOTATION"]), (head(kind="hard_negative", iou=0.02, w=12, ok=False), []), (head(coverage=None, kind=None, ok=None, out=None, behind=None, poke=None, seam=None, iou=None), []),
     ]
     df = spark.createDataFrame([(n, [person, i], 416, 416) for n, (i, _) in enumerate(wanted)], f"n int, instances array<struct<{kind}>>, width int, height int")
@@ -233,13 +233,13 @@ def test_measured_rules(spark):
 def test_mask_gate_and_unit_reasons(spark):
     names = ["iou_score", "object_score_logit", "outside_box_ratio", "second_component_ratio", "hole_fill_ratio", "mask_to_box_coverage", "solidity", "mask_area_px", "edge_touch_top", "edge_touch_side"]
     gate = lambda cls, *values: rules.mask_failures(F.struct(*[F.lit(x).alias(n) for n, x in zip(names, values)]), F.lit(cls))
-    bad = (0.8, 19.0, 0.2, 0.3, 1.3, 0.9, 0.1, 200, 0.9, 0.9)
-    got = one(spark, gate("head", 0.82, 19.5, 0.1, 0.2, 1.25, 0.8307, 0.7508, 250, 0.5, 0.9), gate("head", *bad), gate("person", *bad))
+    bad = (0.7, 17.0, 0.2, 0.3, 1.4, 0.9, 0.1, 200, 0.9, 0.9)
+    got = one(spark, gate("head", 0.8, 18.0, 0.15, 0.25, 1.3, 0.85, 0.7, 300, 0.4, 0.9), gate("head", *bad), gate("person", *bad))
     assert got.c0 == [] and got.c1 == names[:-1] and got.c2 == names[:-2] + names[-1:]
     st = lambda **k: F.struct(*[F.lit(x).alias(n) for n, x in k.items()])
     good = dict(cls="person", split="train", preferred=True, truncated=False, difficult=False, x=10, y=100, w=100, h=200, touch_top=0.1, touch_side=0.1)
-    worst = dict(cls="head", split="val", preferred=False, truncated=False, difficult=True, x=10, y=0, w=100, h=70, touch_top=0.2, touch_side=0.2)
-    got = one(spark, rules.unit_reasons(st(**good), st(x=20, y=110, w=60, h=50), F.lit(400)), rules.unit_reasons(st(**worst), st(x=-90, y=60, w=90, h=20), F.lit(400)), rules.unit_reasons(st(**good | {"preferred": False}), st(x=20, y=110, w=60, h=50), F.lit(400), {"preferred": False}))
+    worst = dict(cls="head", split="val", preferred=False, truncated=False, difficult=True, x=10, y=0, w=100, h=50, touch_top=0.2, touch_side=0.2)
+    got = one(spark, rules.unit_reasons(st(**good), st(x=20, y=110, w=50, h=50), F.lit(400)), rules.unit_reasons(st(**worst), st(x=-90, y=60, w=90, h=20), F.lit(400)), rules.unit_reasons(st(**good | {"preferred": False}), st(x=20, y=110, w=50, h=50), F.lit(400), {"preferred": False}))
     assert got.c0 == [] and got.c2 == [] and got.c1 == ["NOT_PERSON", "NOT_TRAIN", "NOT_PREFERRED_TIER", "VOC_FLAGGED", "PERSON_TOO_SMALL", "SOURCE_PERSON_TOO_HIGH", "PERSON_TOO_HORIZONTAL", "HEAD_TOO_LOW", "HEAD_TOO_WIDE", "INVALID_HEAD_BOX", "MASK_TOUCHES_TOP", "MASK_TOUCHES_SIDE"]
 
 
