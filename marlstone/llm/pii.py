@@ -5,14 +5,13 @@ match its position in code points. Patterns are written so that Java's matcher n
 nor starts anew at each character of a run; they find what the plain forms in BASE_FORMS find.
 
 Generators of high recall propose more spans, which may overlap. For each kind, trees boosted on a bounded sample score
-them by format and context. There are no labels for spans, so the sample's base spans are written anew in the forms that
-people give them to escape plain patterns (``name (at) host (dot) org``, numbers without a plus, dots in brackets): the
-places are known, the forms miss the base patterns, and what else is proposed around them, dates and numbers put in as
-decoys among it, is negative. Secrets are told by
-the words before them (an assignment to a key, token or password), while their trees see only the value's format, so that
-they also find values that nothing announces. A few cues of form or context are positives too. Each kind's threshold is
-calibrated on the proposals of held-out documents. A chosen span that meets no base span is added; of chosen ones that
-overlap, the one with the highest score.
+them by format and context. There are no labels for spans, so the sample is written anew: its base spans in forms that
+people give them to escape plain patterns (``name (at) host (dot) org``, numbers without a plus, dots in brackets), and at the
+end of each text some made-up spans in such forms beside made-up decoys (dates, prices, versions, digests, identifiers). What is
+written is known, and what else is proposed around it is negative, so that what is found doesn't hang on how many spans a
+corpus has. Secrets are values that are assigned to a word for a credential, or that have the form of an access key; digests
+that stand after ``commit`` or ``sha256``, or alone, are none. Each kind's threshold is calibrated on the proposals of
+held-out documents. A chosen span that meets no base span is added; of chosen ones that overlap, the one with the highest score.
 """
 
 from __future__ import annotations
@@ -33,7 +32,9 @@ SAMPLE_DOCS = 4000
 POOL_DOCS = 40_000
 #: Proposals that are taken from them, at most.
 SAMPLE_PROPOSALS = 40_000
-TREES = 25
+#: Made-up spans, and as many decoys, at the end of each text of the sample.
+PLANTED = 3
+TREES = 40
 BINS = 16
 RATE = 0.3
 PRECISION = 0.98
@@ -55,22 +56,26 @@ BASE = {
 #: Cheap tests that a text may have a match at all.
 NEEDS = {
     "email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]",
-    "secret": r"[A-Za-z0-9_+/-]{20}|[A-Za-z_][0-9]|[0-9][A-Za-z_]", "number": r"[0-9]", "mail": r"(?i)@|\bat\b", "address": r"[0-9]\s?(?:[.,]|dot|[\[({]\s?(?:dot|\.))", "digits": r"[0-9](?:[ ._/:-]{0,3}[0-9]){12}",
+    "secret": r"[A-Za-z0-9_+/-]{20}|[A-Za-z_][0-9]|[0-9][A-Za-z_]|[0-9]{12}", "number": r"[0-9]", "mail": r"(?i)[@\uFF20]|\bat\b", "address": r"[0-9]\s?(?:[.,]|dot|[\[({]\s?(?:dot|\.))", "digits": r"[0-9](?:[ ._/:-]{0,3}[0-9]){12}",
 }
-_AT, _DOT = r"(?:\s?(?:@|[\[({<]\s?(?:at|@)\s?[\])}>])\s?|\sat\s)", r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
+_AT, _DOT = r"(?:\s?(?:[@\uFF20]|[\[({<]\s?(?:at|@)\s?[\])}>])\s?|\sat\s)", r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\sdot\s)"
 #: Kind and pattern of the generators. Mail addresses have up to five labels; the others have no bound but their form.
 GENERATORS = {
     "secret": ("secret", r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+|[A-Za-z_+/-]{20,}+)={0,2}"),
-    "number": ("phone", r"(?<![0-9])[0-9(][0-9() ./-]{6,}[0-9]"),
+    "number": ("phone", r"(?<![0-9A-Za-z])[0-9(][0-9() ./-]{6,}[0-9](?![0-9A-Za-z])"),
     "mail": ("email", rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++){{0,3}}{_DOT}[A-Za-z]{{2,}}+"),
     "address": ("ip", r"(?<![0-9.])[0-9]{1,3}(?:(?:\s?(?:[.,]|[\[({]\s?(?:dot|\.)\s?[\])}])\s?|\sdot\s)[0-9]{1,3}){3}(?![0-9])"),
-    "digits": ("card", r"(?<![0-9])[0-9](?:[ ._/:-]{0,3}[0-9]){12,18}(?![0-9])"),
+    "digits": ("card", r"(?<![0-9A-Za-z])[0-9](?:[ ._/:-]{0,3}[0-9]){12,18}(?![0-9A-Za-z])"),
 }
 #: Cheap tests by which the sample is drawn, a kind each, and one that all texts pass.
 SAMPLED = (
     r"[A-Za-z0-9]@[A-Za-z0-9-]+\.|[(\[](?:at|dot)[)\]]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", NEEDS["card"], r"\+[0-9][ ().0-9-]{8}|(?i:tel|phone|call|fax|mobile)[a-z]*[.:]?\s*[0-9(]",
     r"(?i:token|key|secret|passw|auth|bearer)[A-Za-z_]*\s*[=:]\s*[\"']?[A-Za-z0-9_+/-]{12}", "",
 )
+#: Frequent last labels of host names.
+TOP_LEVEL = "com org net edu gov int info biz io co uk de fr es it nl eu ch at be se no dk fi pl pt cz us ca au nz jp cn in br ru".split()
+#: Words before a credential, and before a digest that is none.
+CREDENTIAL, DIGEST = "token|key|secret|passw|auth|bearer|credential", "commit|sha[-_]?[0-9]|md5|crc|checksum|digest|hash|revision|etag|blob|tree|parent|object"
 _NO_SPANS = "CAST(array() AS array<struct<start:int,stop:int,hit:string,before:string,after:string>>)"
 
 
@@ -93,12 +98,15 @@ def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
 
-def luhn(digits: Column) -> Column:
-    """Whether a string of digits passes the Luhn test."""
+def _luhn_sum(digits: Column) -> Column:
     n = F.length(digits)
     value = lambda i: F.substring(digits, n - i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + F.when(value(i) > 9, value(i) - 9).otherwise(value(i)))
-    return total % 10 == 0
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda acc, i: acc + F.when(value(i) > 9, value(i) - 9).otherwise(value(i)))
+
+
+def luhn(digits: Column) -> Column:
+    """Whether a string of digits passes the Luhn test."""
+    return _luhn_sum(digits) % 10 == 0
 
 
 def _valid(kind: str, hit: Column) -> Column:
@@ -125,14 +133,14 @@ def _with_base(docs: DataFrame) -> DataFrame:
 
 
 def _cue(rank: int, hit: Column, before: Column, k: Column) -> Column:
-    """A distant label by form and context: an assigned long hexadecimal value or an assigned mixed one after a word for
-    credentials; an address with (at) or (dot); 7 to 15 digits after a word for telephones."""
+    """Whether a span that nobody has written says itself that it is one: an assigned value after a word for credentials, which
+    counts as a positive; an address with (at) or (dot), or digits after a word for telephones, which are left out of the sample."""
     if KINDS[rank] == "email":
         return hit.rlike(r"[(\[](?:at|dot)[)\]]")
     if KINDS[rank] == "phone":
         return k.between(7, 15) & before.rlike(r"(?i)\b(?:tel|phone|call|fax|mobile)[a-z]*[.:]?\s*$")
-    mixed = hit.rlike("[A-Za-z]") & hit.rlike("[0-9]") & (F.size(F.array_distinct(F.split(hit, ""))) >= 10) & before.rlike("(?i)(?:token|key|secret|passw|auth|bearer)")
-    return (hit.rlike("^[0-9a-fA-F]{32,}$") | mixed) & before.rlike(r"[=:]\s*[\"']?$")
+    mixed = hit.rlike("[A-Za-z]") & hit.rlike("[0-9]") & (F.size(F.array_distinct(F.split(hit, ""))) >= 10) & before.rlike(rf"(?i)(?:{CREDENTIAL})")
+    return (hit.rlike("^[0-9a-fA-F]{32,}$") & ~before.rlike(rf"(?i)(?:{DIGEST})") | mixed) & before.rlike(r"[=:]\s*[\"']?$")
 
 
 def _longest(hit: Column, other: str) -> Column:
@@ -141,12 +149,12 @@ def _longest(hit: Column, other: str) -> Column:
 
 
 def _proposal(x: Column, rank: int) -> Column:
-    """A proposal with its features as numbers. A secret's context is left out: it is what labels come from."""
+    """A proposal with its features as numbers, of format and context."""
     hit, before = x["hit"], x["before"]
     digits = _digits(hit)
     n, k = F.length(hit), F.length(digits)
     number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    words = [before.rlike(p) for p in (r"[=:]\s*[\"']?$", r"(?i)(?:token|key|secret|passw|auth|bearer)", r"(?i)(?:tel|phone|call|fax|mobile|card|mail|contact)", r"\+$", r"[A-Za-z]\s?$", r"[0-9][^A-Za-z]{0,2}$")]
+    words = [before.rlike(p) for p in (r"[=:]\s*[\"']?$", rf"(?i)(?:{CREDENTIAL})", rf"(?i)(?:{DIGEST})", r"(?i)(?:tel|phone|call|fax|mobile|card|mail|contact)", r"\+$", r"[A-Za-z]\s?$", r"[0-9][^A-Za-z]{0,2}$")]
     parts = F.filter(F.split(hit, "[^0-9]+"), lambda p: p != "")
     return F.struct(
         x["start"].alias("start"), x["stop"].alias("stop"), F.lit(rank).alias("rank"), _cue(rank, hit, before, k).alias("cue"),
@@ -154,7 +162,7 @@ def _proposal(x: Column, rank: int) -> Column:
             n, k, k / n, F.size(F.array_distinct(F.split(hit, ""))), F.length(F.regexp_replace(hit, "[A-Za-z0-9]", "")), F.length(F.regexp_replace(hit, "[^A-Z]", "")) / n, F.length(F.regexp_replace(hit, "[^aeiouAEIOU]", "")) / n,
             hit.rlike("^[0-9a-fA-F]+$"), F.when(k.between(13, 19), luhn(digits)), F.size(parts), F.array_max(F.transform(parts, lambda p: F.length(p))), F.array_min(F.transform(parts, lambda p: F.length(p))),
             _longest(hit, "[^A-Za-z]"), F.size(F.split(hit, r"[^A-Za-z0-9]+")), F.length(F.regexp_extract(hit, "[A-Za-z]*$", 0)), hit.rlike(r"[\[({<]"), hit.rlike(r"\s"), hit.rlike(r"(?i)\bat\b"), hit.rlike(r"(?i)\bdot\b"), hit.rlike("^[0-9]"),
-            *([F.lit(0)] * len(words) if KINDS[rank] == "secret" else words),
+            F.lower(F.regexp_extract(hit, "[A-Za-z]*$", 0)).isin(*TOP_LEVEL), hit.rlike("^[A-Z0-9]+$"), hit.rlike("^[0-9]+$"), *[F.length(F.get(parts, F.lit(i))) for i in range(4)], *words,
         )]).alias("x"),
     )
 
@@ -192,21 +200,85 @@ def _rendered(rank: Column, hit: Column, v: Column) -> Column:
     return F.when(rank == 0, email).when(rank == 1, ip).when(rank == 2, card).when(rank == 3, phone).otherwise(secret)
 
 
+class _Made:
+    """Parts of made-up text, all from a hash of a document's key and a number."""
+
+    def __init__(self, key: Column, n: int):
+        self.h = F.pmod(F.xxhash64(key, F.lit(n)), F.lit(1 << 40))
+        self.hex = F.sha2(F.concat(key.cast("string"), F.lit(f"/{n}")), 256)
+        self.mixed = F.translate(F.base64(F.unhex(self.hex)), "/+=", "_-")
+
+    def number(self, shift: int, size: int, low: int = 0) -> Column:
+        return F.shiftright(self.h, shift) % size + low
+
+    def letters(self, start: int, size: int | Column) -> Column:
+        return F.substring(F.translate(self.hex, "0123456789", "ghijklmnop"), F.lit(start), F.lit(size) if isinstance(size, int) else size)
+
+    def digits(self, start: int, size: int) -> Column:
+        """Digits, the first not 0."""
+        all_digits = F.translate(self.hex, "abcdef", "123456")
+        return F.concat((F.substring(all_digits, start, 1).cast("int") % 9 + 1).cast("string"), F.substring(all_digits, start + 1, size - 1))
+
+    def one_of(self, shift: int, *forms: Column | str) -> Column:
+        return F.get(F.array(*[F.lit(f) if isinstance(f, str) else f for f in forms]), (F.shiftright(self.h, shift) % len(forms)).cast("int"))
+
+
+def _joined_by(by: Column, *parts: Column) -> Column:
+    return F.concat(parts[0], *[x for p in parts[1:] for x in (by, p)])
+
+
+def _piece(hit: Column, rank: int, before: Column | str = "") -> Column:
+    return F.struct((F.lit(before) if isinstance(before, str) else before).alias("before"), hit.alias("hit"), F.lit(rank).alias("rank"))
+
+
 def _decoy(key: Column, n: int) -> Column:
-    """A number or name that is no personal data, in a common form, by hash of the key."""
-    h, m = F.pmod(F.xxhash64(key, F.lit(n)), F.lit(1 << 40)), F.md5(F.concat(key.cast("string"), F.lit(f"/{n}")))
-    part = lambda shift, size, low=0: F.shiftright(h, shift) % size + low
+    """A number or name that is no personal data, in a common form, with what stands before it."""
+    m = _Made(key, n)
+    part = m.number
+    # "%03d" and the like: every form is common in prose, logs or code
     forms = [
         F.format_string("%d-%02d-%02d %02d:%02d", part(3, 60, 1970), part(9, 12, 1), part(14, 28, 1), part(20, 24), part(26, 60)), F.format_string("978-%d-%04d-%04d-%d", part(3, 10), part(7, 10000), part(21, 10000), part(36, 10)),
-        F.format_string("version %d.%d.%d", part(3, 20), part(8, 40), part(14, 100)), F.format_string("%d %03d %03d", part(3, 90, 1), part(10, 1000), part(20, 1000)), F.format_string("%d.%05d, %d.%05d", part(3, 90), part(10, 99999), part(20, 180), part(28, 4000)),
-        F.format_string("%d", part(3, 90_000_000, 1_000_000)), F.concat_ws("-", *[F.substring(m, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.format_string("met at %d. Then on", part(3, 12, 1)),
-        F.substring(F.translate(F.concat(m, m), "0123456789", "ghijklmnop"), F.lit(1), part(3, 20, 12).cast("int")), F.format_string("value_of_%s_part_%d", F.translate(F.substring(m, 1, 6), "0123456789", "ghijklmnop"), part(3, 100)),
+        F.format_string("version %d.%d.%d.%d", part(3, 20), part(8, 40), part(14, 100), part(20, 3000, 256)), F.format_string("%d %03d %03d", part(3, 900, 1), part(10, 1000), part(20, 1000)), F.format_string("%d.%05d, %d.%05d", part(3, 90), part(10, 99999), part(20, 180), part(28, 4000)),
+        F.format_string("%d", part(3, 90_000_000, 1_000_000)), F.concat_ws("-", *[F.substring(m.hex, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.format_string("met at %d. Then on", part(3, 12, 1)),
+        m.letters(1, part(3, 20, 12).cast("int")), F.format_string("value_of_%s_part_%d", m.letters(1, 6), part(3, 100)), F.format_string("%d, %d, %d, %d", part(3, 90), part(10, 250), part(18, 90), part(25, 99)), F.format_string("%d %03d %03d %03d %03d", part(3, 90, 1), part(10, 1000), part(20, 1000), part(24, 1000), part(28, 1000)),
+        F.format_string("%d.%03d.%03d", part(3, 900, 1), part(10, 1000), part(20, 1000)), F.format_string("%s.%s.%s.%s", m.digits(1, 4), m.digits(5, 4), m.digits(9, 4), F.concat(m.digits(13, 3), ((11 - _luhn_sum(F.concat(m.digits(1, 4), m.digits(5, 4), m.digits(9, 4), m.digits(13, 3), F.lit("0"))) % 10) % 10).cast("string"))),
+        F.concat(m.letters(1, 5), F.lit(" at "), m.letters(7, 6), F.lit(" dot "), m.letters(15, part(20, 5, 2).cast("int")), F.lit(" ")), F.concat(F.lit("0x"), F.substring(m.hex, 1, 16)), F.format_string("%d.%03d.%03d,%02d EUR", part(3, 90, 1), part(10, 1000), part(20, 1000), part(28, 100)),
+        F.format_string("%d.%03d,%02d; %d,%d,%d,%d", part(3, 90, 1), part(10, 1000), part(20, 100), part(3, 90), part(10, 99), part(20, 99), part(28, 99)), F.format_string("no. %s", m.digits(1, 18)), F.format_string("%d-%02d-%02d %02d:%02d:%02d", part(3, 60, 1970), part(9, 12, 1), part(14, 28, 1), part(20, 24), part(26, 60), part(31, 60)), F.format_string("%s-%s-%s", m.digits(1, 4), m.digits(5, 5), m.digits(10, 4)),
     ]
-    return F.get(F.array(*forms), (h % len(forms)).cast("int"))
+    named = m.one_of(33, "commit ", "sha256 ", "md5: ", "checksum=", "revision ", "sha1:", "digest: ", "etag \"", "")
+    size = F.get(F.array(*map(F.lit, (40, 64, 32, 40, 16))), (part(3, 5)).cast("int"))
+    digest = _piece(F.substring(m.hex, F.lit(1), size), -1, named)
+    other = _piece(F.get(F.array(*forms), part(0, len(forms)).cast("int")), -1)
+    return F.when(part(36, 3) == 0, digest).otherwise(other)
+
+
+def _planted(key: Column, n: int) -> Column:
+    """A made-up span of any kind in a form that misses the base patterns, with what stands before it."""
+    m = _Made(key, n)
+    part = m.number
+    at, dot = m.one_of(3, " (at) ", "[at]", " at ", " AT ", " (AT) ", "\uFF20", "(at)", " @ ", " {at} "), m.one_of(7, " (dot) ", "[dot]", " dot ", " DOT ", " (DOT) ", ".", "(dot)", ".", "{dot}")
+    name = F.concat(m.letters(1, part(11, 8, 3).cast("int")), m.one_of(15, "", ".", "_"), m.letters(12, 4))
+    email = F.concat(name, at, m.letters(20, part(18, 8, 4).cast("int")), dot, m.one_of(22, "com", "org", "net", "de", "info", "co.uk"))
+    email = F.when(part(26, 4) == 0, F.upper(email)).otherwise(email)
+    ip = _joined_by(m.one_of(3, "[.]", " . ", "(dot)", " [dot] ", " dot ", "[dot]", "(.)"), part(7, 223, 1).cast("string"), part(14, 256).cast("string"), part(21, 256).cast("string"), part(28, 254, 1).cast("string"))
+    fifteen = m.digits(1, 15)
+    sixteen = F.concat(fifteen, ((10 - _luhn_sum(F.concat(fifteen, F.lit("0"))) % 10) % 10).cast("string"))
+    card = _joined_by(m.one_of(3, ".", "/", "_", "--", " / ", "  ", ":"), *[F.substring(sixteen, a, 4) for a in (1, 5, 9, 13)])
+    phone = m.one_of(
+        3, F.format_string("%s-%s-%s", m.digits(1, 3), m.digits(4, 3), m.digits(7, 4)), F.format_string("(%s) %s-%s", m.digits(1, 3), m.digits(4, 3), m.digits(7, 4)), F.format_string("%s.%s.%s", m.digits(1, 3), m.digits(4, 3), m.digits(7, 4)),
+        F.format_string("0%s %s", m.digits(1, 2), m.digits(4, 7)), F.format_string("0049 %s %s", m.digits(1, 3), m.digits(4, 7)), F.format_string("00%s-%s-%s", m.digits(1, 2), m.digits(4, 3), m.digits(7, 7)), F.format_string("0%s/%s", m.digits(1, 3), m.digits(4, 6)),
+        F.format_string("0%s", m.digits(1, 10)), F.format_string("%s %s %s", m.digits(1, 3), m.digits(4, 3), m.digits(7, 4)),
+    )
+    called = m.one_of(13, "", "", "call ", "tel. ", "phone: ", "Tel ", "fax ", "mobile: ")
+    value = m.one_of(3, F.substring(m.hex, 1, 40), F.substring(m.hex, 1, 32), m.hex, F.substring(m.mixed, 1, 24), F.substring(m.mixed, 1, 40), F.substring(m.mixed, 1, 16), m.digits(1, 18), F.upper(F.substring(F.translate(m.mixed, "_-", ""), 1, 20)))
+    assigned = F.concat(m.one_of(7, "token", "api_key", "secret", "password", "auth_token", "access_key", "SECRET_KEY", "passwd", "bearer", "apikey"), m.one_of(12, "=", " = ", ": ", "=\"", " = \"", "='", ":"))
+    access = F.concat(F.lit("AKIA"), F.substring(F.upper(F.translate(m.mixed, "_-", "")), 1, 16))
+    secret = F.when(part(18, 8) == 0, _piece(access, 4, m.one_of(22, "", "id ", "aws "))).otherwise(_piece(value, 4, assigned))
+    return F.get(F.array(_piece(email, 0), _piece(ip, 1), _piece(card, 2), _piece(phone, 3, called), secret, secret), part(36, 6).cast("int"))
 
 
 def _rewritten(docs: DataFrame) -> DataFrame:
-    """``__key``, ``__text`` with base spans and announced secrets in other forms and two decoys at the end, ``__truth``: start, rank and stop of those."""
+    """``__key``, ``__text`` with base spans and announced secrets in other forms and made-up spans and decoys at the end, ``__truth``: start, rank and stop of those."""
     text, kind = F.col("__text"), "array<struct<start:int,rank:int,stop:int>>"
     secret = KINDS.index("secret")
     announced = F.filter("__secrets", lambda x: _cue(secret, x["hit"], x["before"], F.lit(0)))
@@ -224,8 +296,17 @@ def _rewritten(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn("__secrets", _found("__text", NEEDS["secret"], GENERATORS["secret"][1])).withColumn("__marks", spans)
     done = marked.withColumn("__done", F.aggregate("__marks", zero, step))
     rest = F.substring(text, F.col("__done.pos") + 1, F.length(text))
-    decoys = [F.lit(" "), _decoy(F.col("__key"), 1), F.lit(" and "), _decoy(F.col("__key"), 2)]
-    return done.select("__key", F.concat("__done.out", rest, *decoys).alias("__text"), F.col("__done.spans").alias("__truth"))
+    pieces = F.array(*[f(F.col("__key"), 10 * i + j) for i in range(PLANTED) for j, f in enumerate((_planted, _decoy))])
+    begun = done.select("__key", F.concat("__done.out", rest).alias("__text"), F.col("__done.spans").alias("__truth"), pieces.alias("__pieces"))
+    start = F.struct(F.col("__text").alias("out"), F.col("__truth").alias("spans"))
+
+    def put(acc: Column, p: Column) -> Column:
+        at = F.length(acc["out"]) + F.length(p["before"]) + 2
+        span = F.struct(at.cast("int").alias("start"), p["rank"].alias("rank"), (at + F.length(p["hit"])).cast("int").alias("stop"))
+        return F.struct(F.concat(acc["out"], F.lit("; "), p["before"], p["hit"]).alias("out"), F.when(p["rank"] >= 0, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    put_in = begun.withColumn("__put", F.aggregate("__pieces", start, put))
+    return put_in.select("__key", F.concat("__put.out", F.lit(" ;")).alias("__text"), F.col("__put.spans").alias("__truth"))
 
 
 class Trees:
@@ -284,7 +365,7 @@ def _boosted(x: np.ndarray, y: np.ndarray, trees: int) -> tuple[float, list[tupl
 
 
 def fit(x: np.ndarray, y: np.ndarray, kind: np.ndarray, held: np.ndarray, *, trees: int = TREES) -> Trees:
-    """Boost each kind on the proposals that aren't ``held``; on the held ones, take the lowest threshold that keeps PRECISION.
+    """Boost each kind on the proposals that aren't ``held``; on the held ones, take the lowest threshold that keeps PRECISION, half-way to the next score.
 
     A kind without positives and negatives to learn from, or without held-out positives, gets no threshold, so nothing of
     it is added.
@@ -301,7 +382,7 @@ def fit(x: np.ndarray, y: np.ndarray, kind: np.ndarray, held: np.ndarray, *, tre
         ends = np.append(s[1:] < s[:-1], True)
         good = np.flatnonzero(ends & (right / np.arange(1, len(s) + 1) >= PRECISION) & (right > 0))
         if len(good):
-            model.thresholds[k] = float(s[good[-1]])
+            model.thresholds[k] = float((s[good[-1]] + s[good[-1] + 1]) / 2 if good[-1] + 1 < len(s) else s[good[-1]])
     return model
 
 
@@ -331,7 +412,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sa
     rows = _with_proposals(_with_base(_rewritten(_with_base(sample))))
     shared = lambda t, p: F.least(t["stop"], p["stop"]) - F.greatest(t["start"], p["start"])
     same = lambda t, p: (t["rank"] == p["rank"]) & (shared(t, p) >= 0.8 * F.greatest(t["stop"] - t["start"], p["stop"] - p["start"]))
-    told = F.transform("__proposals", lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["x"].alias("x"), (p["cue"] | F.exists("__truth", lambda t: same(t, p))).alias("y")))
+    secret = KINDS.index("secret")
+    known = F.transform("__proposals", lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["x"].alias("x"), p["cue"].alias("cue"), F.exists("__truth", lambda t: same(t, p)).alias("written")))
+    told = F.transform(F.filter(known, lambda p: p["written"] | ~p["cue"] | (p["rank"] == secret)), lambda p: F.struct(p["start"], p["rank"], p["x"], (p["written"] | p["cue"] & (p["rank"] == secret)).alias("y")))
     flat = rows.select("__key", F.explode(told).alias("p")).select("__key", "p.*", (F.pmod(F.xxhash64("__key", F.lit("held")), F.lit(3)) == 2).alias("held"))
     found = flat.orderBy(F.xxhash64("__key", "start", "rank"), "__key", "start", "rank").limit(sample_proposals).drop("__key", "start").collect()
     x = np.array([r["x"] for r in found], dtype=float)

@@ -454,6 +454,32 @@ def test_pii_trees_learn_from_base_spans_what_patterns_miss(spark):
     assert min(hits[-2:]) == 1 and sum(h >= 0.8 for h in hits[:-2]) >= 5, hits
 
 
+def test_pii_on_a_thousand_documents(spark):
+    """Trained on the small table: every announced token is found, and forms and decoys of kinds that training doesn't write."""
+    rng = random.Random(17)
+    some = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    low, hexa, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", lambda n: some(1, "123456789") + some(n - 1, "0123456789")
+    mixed = lambda n: some(n, "abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = pii.train(docs)
+    announced = 0
+    for r in docs.join(pii.find_pii(docs, model=model).select("doc_id", "spans"), "doc_id").where("text like '%token = %'").collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"]):
+            assert f"secret:{m.start(1)}:{m.end(1)}" in r["spans"].split(",")
+            announced += 1
+    assert announced == 13
+    forms = [
+        ("secret", lambda: f"Authorization: Bearer {mixed(36)}"), ("secret", lambda: f'client_secret => "{mixed(28)}"'), ("secret", lambda: f"password={digits(20)}"), ("email", lambda: f"{some(6, low)} <at> {some(7, low)} [dot] de"),
+        ("ip", lambda: " (.) ".join(str(rng.randrange(1, 255)) for _ in range(4))), ("phone", lambda: f"cell: ({digits(3)}) {digits(3)} {digits(4)}"),
+        ("none", lambda: f"tree {some(40, hexa)}"), ("none", lambda: f"parent {some(40, hexa)}"), ("none", lambda: f"{digits(3)} {digits(3)} {digits(3)}"), ("none", lambda: f"build {digits(8)}.{digits(4)}"),
+        ("none", lambda: f"lat {digits(2)}.{digits(5)} lon {digits(1)}.{digits(6)}"), ("none", lambda: f"order no. {digits(9)}"), ("none", lambda: "he arrived at noon dot and left"), ("none", lambda: f"section {digits(1)}.{digits(1)}.{digits(1)}.{digits(3)[:2]}99"),
+    ]
+    planted = [(i, f"Some words and {forms[i % len(forms)][1]()} were in it.") for i in range(30 * len(forms))]
+    got = {r["doc_id"]: (r["spans"] or "none").partition(":")[0] for r in rows(pii.find_pii(spark.createDataFrame(planted, "doc_id long, text string"), model=model))}
+    right = [sum(got[i] == kind for i in range(k, len(planted), len(forms))) / 30 for k, (kind, _) in enumerate(forms)]
+    assert min(right) >= 0.9, dict(zip(range(len(forms)), right))
+
+
 # queries
 
 
