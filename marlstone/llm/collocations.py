@@ -35,7 +35,7 @@ FILTER_BITS = 1 << 25
 COVERED_PERCENT = 50
 SCALE = 1_000_000
 #: Bytes of text that a task counts at once.
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 8 << 20
 _SEGMENT = 1 << 15
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands between pieces. No word holds a capital letter after lower-casing.
@@ -100,7 +100,7 @@ def count_phrases(lang: str, words: list[bytes], longest: int, with_words: bool,
 
 
 def _scan(shared, longest: int, with_words: bool, flush: int):
-    """Texts of one shard to lang, size, phrase, n."""
+    """Texts of one shard to size, key (language, tab, phrase), n."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = shared.value
@@ -110,8 +110,9 @@ def _scan(shared, longest: int, with_words: bool, flush: int):
         def out() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
                 for k, phrases, n in count_phrases(lang, words, longest, with_words, now, before):
-                    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), k, np.int8)), pa.array(phrases, pa.binary()).view(pa.string()), pa.array(n, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "n"])
+                    prefix = lang.encode() + b"\t"
+                    columns = [pa.array(np.full(len(phrases), k, np.int8)), pa.array([prefix + p for p in phrases], pa.binary()).view(pa.string()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["size", "key", "n"])
             held.clear()
 
         for batch in batches:
@@ -134,7 +135,13 @@ class _Folder:
         self.spark, self.path = spark, f"{shared_dir(spark)}/collocations-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        df.write.partitionBy(*by).parquet(f"{self.path}/{name}")
+        conf, writers = self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+        held = conf.get(writers)
+        conf.set(writers, "16")  # the few folders of a table are written side by side, not after a sort
+        try:
+            df.write.partitionBy(*by).parquet(f"{self.path}/{name}")
+        finally:
+            conf.set(writers, held)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
@@ -144,9 +151,9 @@ class _Folder:
 
 def _filter(totals: DataFrame, least: int, bits: int) -> bytes:
     """The bits of all phrases with ``least`` occurrences: at most ``bits / 8`` bytes come to the driver."""
-    at = F.xxhash64(F.concat("lang", F.lit("\t"), "phrase")).bitwiseAND(F.lit(bits - 1))
+    at = F.xxhash64("key").bitwiseAND(F.lit(bits - 1))
     told = totals.where(F.col("n") >= least).select((at / _SEGMENT).cast("int").alias("segment"), (at % _SEGMENT).alias("at"))
-    found = told.distinct().repartition("segment").groupBy("segment").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    found = told.repartition("segment").groupBy("segment").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     out = bytearray(bits // 8)
     for r in found:
         out[r["segment"] * (_SEGMENT // 8) : (r["segment"] + 1) * (_SEGMENT // 8)] = r["bits"]
@@ -154,7 +161,7 @@ def _filter(totals: DataFrame, least: int, bits: int) -> bytes:
 
 
 def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS, filter_bits: int = FILTER_BITS, flush: int = FLUSH_BYTES) -> dict[int, DataFrame]:
-    """By number of words: lang, phrase, n. All words are counted, and every longer phrase with ``least`` occurrences (and some others)."""
+    """By number of words: key (language, tab, phrase), n. All words are counted, and every longer phrase with ``least`` occurrences (and some others)."""
     spark = docs.sparkSession
     if filter_bits < _SEGMENT or filter_bits & (filter_bits - 1):
         raise ValueError(f"filter_bits must be a power of two, {_SEGMENT} at least")
@@ -173,16 +180,16 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         if not sizes:
             break
         shared = spark.sparkContext.broadcast((now, before))
-        found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(shared, max(sizes), 1 in sizes, flush), "lang string, size byte, phrase string, n long")
+        found = corpus.where(F.col("shard") == step % shards).select("lang", "text").mapInArrow(_scan(shared, max(sizes), 1 in sizes, flush), "size byte, key string, n long")
         for k in sizes:  # counts so far are summed with the new ones, in the same shuffle
             if k in totals:
-                found = found.unionByName(totals[k][1].select("lang", F.lit(k).cast("byte").alias("size"), "phrase", "n"))
-        summed = folder.write(found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), f"step-{step}", "size")
+                found = found.unionByName(totals[k][1].select(F.lit(k).cast("byte").alias("size"), "key", "n"))
+        summed = folder.write(found.groupBy("size", "key").agg(F.sum("n").alias("n")), f"step-{step}", "size")
         shared.unpersist()
         history.append(now)
         now = dict(now)
         for k in sizes:
-            own = summed.where(F.col("size") == k).select("lang", "phrase", "n")
+            own = summed.where(F.col("size") == k).select("key", "n")
             if k == longest:
                 last.append(own)
                 continue
@@ -191,15 +198,21 @@ def counted(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             totals[k] = (step, own)
             now[k] = _filter(own, least, filter_bits)
         step += 1
-    none = spark.createDataFrame([], "lang string, phrase string, n long")
+    none = spark.createDataFrame([], "key string, n long")
     out = {k: totals[k][1] if k in totals else none for k in range(1, longest)}
     out[longest] = none
     for own in last:
         out[longest] = out[longest].unionByName(own)
-    out[longest] = out[longest].groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    out[longest] = out[longest].groupBy("key").agg(F.sum("n").alias("n"))
     return out
 
 
+def _told(counts: DataFrame) -> DataFrame:
+    """lang, phrase, n. A phrase has no tab, a language may."""
+    phrase = F.substring_index("key", "\t", -1)
+    return counts.select(F.left("key", F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "n")
+
+
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, shards: int = SHARDS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two to ``longest`` words.
 
@@ -213,12 +226,12 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     """
     counts = counted(docs, text_col=text_col, lang_col=lang_col, longest=longest, least=least, shards=shards, filter_bits=filter_bits)
     folder = _Folder(docs.sparkSession)
-    enough = [counts[k].where(F.col("n") >= least).withColumn("size", F.lit(k)) for k in counts]
+    enough = [_told(counts[k].where(F.col("n") >= least)).withColumn("size", F.lit(k)) for k in counts]
     frequent = enough[0]
     for x in enough[1:]:
         frequent = frequent.unionByName(x)
     frequent = folder.write(frequent, "frequent")
-    words = folder.write(counts[1].groupBy("lang").agg(F.sum("n").alias("n")), "words")
+    words = folder.write(_told(counts[1]).groupBy("lang").agg(F.sum("n").alias("n")), "words")
     candidates = frequent.where("size > 1").select("lang", "phrase", F.col("n").alias("a"), "size", F.split("phrase", " ").alias("w"))
     text = lambda first, size: F.array_join(F.slice("w", first, size), " ")
     parts = F.flatten(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.array(F.struct((2 * k).alias("k"), text(F.lit(1), k).alias("part")), F.struct((2 * k + 1).alias("k"), text(k + 1, F.col("size") - k).alias("part")))))
