@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import math
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.hashing import hash_hex
@@ -72,3 +76,41 @@ def lowest_share(df: DataFrame, value: str, id_col: str, percent: int) -> DataFr
     """The floor(n * percent / 100) rows with the smallest (value, id)."""
     n = df.count() * percent // 100
     return global_rank(df, [value, id_col], "__rank").where(F.col("__rank") <= n).drop("__rank")
+
+
+def largest_remainder(weights: dict[str, float], n: int) -> dict[str, int]:
+    """``n`` dealt out by weight: the whole parts, and one more each for the largest remainders (of equal ones the first names)."""
+    if n < 0 or any(w < 0 for w in weights.values()) or (n and not sum(weights.values()) > 0):
+        raise ValueError("weights must not be negative, and some must be positive")
+    exact = {k: Fraction(w) * n / sum(map(Fraction, weights.values())) for k, w in weights.items()} if n else dict.fromkeys(weights, Fraction(0))
+    quota = {k: int(x) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: (quota[k] - exact[k], k))[: n - sum(quota.values())]:
+        quota[k] += 1
+    return quota
+
+
+def weighted_sequence(spark: SparkSession, weights: dict[str, float], n: int, seed: int | str) -> DataFrame:
+    """position, name: ``n`` names by weight in a random order.
+
+    Each name comes once, the other places go by weight (largest remainders). With fewer places than names it is ``n``
+    different ones, the heavier the likelier: those with the least -ln(u) / weight, u from the hash of the name. The order
+    is that of the hashes of (name, number), found by range partitions, so it depends on the seed and the quotas alone.
+    """
+    names = sorted(weights)
+    if n < len(names):
+        unit = {k: (int(hashlib.sha256(f"{seed}|{k}".encode()).hexdigest()[:16], 16) + 1) / 2.0**64 for k in names}
+        chosen = sorted((k for k in names if weights[k] > 0), key=lambda k: (-math.log(unit[k]) / weights[k], k))[:n]
+        if len(chosen) < n:
+            raise ValueError("fewer names with a weight than places")
+        quota = dict.fromkeys(chosen, 1)
+    else:
+        quota = {k: 1 + more for k, more in largest_remainder(weights, n - len(names)).items()}
+    ends, at = [], 0
+    for k, q in sorted(quota.items()):
+        at += q
+        ends.append((k, at - q, at))
+    name = F.coalesce(*[F.when(F.col("id") < stop, F.lit(k)) for k, _, stop in ends], F.lit(None).cast("string"))
+    first = F.coalesce(*[F.when(F.col("id") < stop, F.lit(start)) for _, start, stop in ends], F.lit(0))
+    rows = spark.range(n).select(name.alias("name"), (F.col("id") - first).alias("i"))
+    ranked = global_rank(rows.withColumn("h", hash_hex(seed, F.concat_ws(":", "name", F.col("i").cast("string")))), ["h", "name", "i"])
+    return ranked.select((F.col("rank") - 1).alias("position"), "name")
