@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import geometry as g
-from marlstone.operators import allocate, graph, joins
+from marlstone.operators import assign, allocate, graph, joins
 from marlstone.plans.fixtures import PRIMARY, annotations, detections, images, sql, table, vectors
 from marlstone.plans.registry import query
 
@@ -159,3 +159,12 @@ def matched_controls(spark, sf_dir):
     """For each head of arm 1 the nearest free truth of its scenario and class by log size."""
     ann = annotations(spark, sf_dir).where("cls = 'head'").join(images(spark, sf_dir), "image_id").select("scenario", "cls", F.col("ann_id").alias("id"), "w", "h", F.pmod(F.xxhash64("image_id"), F.lit(64)).alias("fold"))
     return allocate.refilled_nearest(ann.where("id % 3 = 0"), ann.where("id % 3 <> 0"), ["scenario", "cls", "fold"])
+
+
+@query()
+def bank_assignment(spark, sf_dir):
+    """Boxes of even images get one of odd images of about their size, each used twice at most and never within a group of images; tests hold it against a loop."""
+    ann = annotations(spark, sf_dir).withColumn("apart", F.col("image_id") % 97)
+    targets = ann.where("image_id % 2 = 0").withColumnRenamed("ann_id", "target_id")
+    items = ann.where("image_id % 2 = 1").withColumnRenamed("ann_id", "item_id")
+    return assign.assigned(targets, items, 2)
