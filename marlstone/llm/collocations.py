@@ -66,6 +66,17 @@ def _passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bits, np.uint8)[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def word_hashes(prefix: bytes, words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(prefix + w) for w in words), np.uint64, len(words))
+
+
+def longer_hashes(shorter: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of all words but the last and of the last."""
+    x = shorter * np.uint64(0x9E3779B97F4A7C15) + last
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
 def count_phrases(lang: str, words: list[bytes], longest: int, with_words: bool, now: Filters, before: Filters) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
     """size, phrases, counts: words if wanted, and the longer phrases that pass ``now`` and did not pass ``before``."""
     coded = pa.array(words, pa.binary()).dictionary_encode()
@@ -75,25 +86,37 @@ def count_phrases(lang: str, words: list[bytes], longest: int, with_words: bool,
         n = np.bincount(key[key >= 0], minlength=len(vocabulary))
         at = np.flatnonzero(n)
         yield 1, [vocabulary[i] for i in at], n[at]
-    phrases, last = vocabulary, np.arange(len(vocabulary))
-    ok, old = np.ones(len(vocabulary), bool), np.ones(len(vocabulary), bool)
-    prefix = lang.encode() + b"\t"
+    if not now.get(1):
+        return
+    own = hashes = word_hashes(lang.encode() + b"\t", vocabulary)
+    made: list[tuple[np.ndarray, np.ndarray]] = []  # of each longer size: phrase of all words but the last, last word
+    last, n_phrases = np.arange(len(vocabulary)), len(vocabulary)
+    ok, old = np.ones(n_phrases, bool), np.ones(n_phrases, bool)
+
+    def texts(size: int, at: np.ndarray) -> list[bytes]:
+        if size == 1:
+            return [vocabulary[i] for i in at.tolist()]
+        shorter, ends = (x[at] for x in made[size - 2])
+        needed, where = np.unique(shorter, return_inverse=True)
+        begun = texts(size - 1, needed)
+        return [begun[i] + b" " + vocabulary[j] for i, j in zip(where.tolist(), ends.tolist())]
+
     for size in range(2, longest + 1):
         if not now.get(size - 1):
             return
-        hashes = np.fromiter((xxhash.xxh64_intdigest(prefix + p, 42) for p in phrases), np.uint64, len(phrases))
         ok, old = ok & _passes(now[size - 1], hashes), old & _passes(before.get(size - 1, b""), hashes)
         live = np.where(key >= 0, ok[key], False)
         at = np.flatnonzero(live[:-1] & live[1:])
         if not len(at):
             return
-        pairs, inverse, n = np.unique(key[at] * len(phrases) + key[at + 1], return_inverse=True, return_counts=True)
-        a, b = pairs // len(phrases), pairs % len(phrases)
-        phrases = [phrases[i] + b" " + vocabulary[j] for i, j in zip(a.tolist(), last[b].tolist())]
-        last, old, ok = last[b], old[a] & old[b], np.ones(len(pairs), bool)
+        pairs, inverse, n = np.unique(key[at] * n_phrases + key[at + 1], return_inverse=True, return_counts=True)
+        a, b = pairs // n_phrases, pairs % n_phrases
+        last, old, ok, n_phrases = last[b], old[a] & old[b], np.ones(len(pairs), bool), len(pairs)
+        hashes = longer_hashes(hashes[a], own[last])
+        made.append((a, last))
         fresh = np.flatnonzero(~old)
         if len(fresh):
-            yield size, [phrases[i] for i in fresh.tolist()], n[fresh]
+            yield size, texts(size, fresh), n[fresh]
         grown = np.full(len(key) - 1, -1, np.int64)
         grown[at] = inverse
         key = grown
@@ -149,10 +172,26 @@ class _Folder:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _places(bits: int):
+    def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """segment, at: the bits of phrases, given as keys."""
+        for batch in batches:
+            at = np.empty(batch.num_rows, np.int64)
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                head, _, phrase = key.rpartition(b"\t")
+                each = word_hashes(head + b"\t", phrase.split(b" "))
+                h = each[:1]
+                for k in range(1, len(each)):
+                    h = longer_hashes(h, each[k : k + 1])
+                at[i] = int(h[0]) & (bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((at // _SEGMENT).astype(np.int32)), pa.array(at % _SEGMENT)], ["segment", "at"])
+
+    return places
+
+
 def _filter(totals: DataFrame, least: int, bits: int) -> bytes:
     """The bits of all phrases with ``least`` occurrences: at most ``bits / 8`` bytes come to the driver."""
-    at = F.xxhash64("key").bitwiseAND(F.lit(bits - 1))
-    told = totals.where(F.col("n") >= least).select((at / _SEGMENT).cast("int").alias("segment"), (at % _SEGMENT).alias("at"))
+    told = totals.where(F.col("n") >= least).select(F.col("key").cast("binary").alias("key")).mapInArrow(_places(bits), "segment int, at long")
     found = told.repartition("segment").groupBy("segment").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     out = bytearray(bits // 8)
     for r in found:
