@@ -61,8 +61,8 @@ def test_late_phrases_complete_their_cycle(spark):
 
 def test_false_hits_of_a_full_filter_change_nothing():
     words, full = [b"a", b"b", b"A", b"a", b"b", b"c"], b"\xff" * 4096
-    assert {(k, tuple(p), tuple(n)) for k, p, n in collocations.count_phrases("en", words, 3, False, {1: full, 2: full}, {})} == {(2, (b"a b", b"b c"), (2, 1)), (3, (b"a b c",), (1,))}
-    assert list(collocations.count_phrases("en", words, 3, False, {1: full, 2: full}, {1: full, 2: full})) == []
+    assert {(k, tuple(p), tuple(n)) for k, p, n in collocations.count_phrases("en", list(words), 3, False, {1: full, 2: full}, {})} == {(2, (b"a b", b"b c"), (2, 1)), (3, (b"a b c",), (1,))}
+    assert list(collocations.count_phrases("en", list(words), 3, False, {1: full, 2: full}, {1: full, 2: full})) == []
 
 
 def test_collocations_on_edges(spark, docs, none):

@@ -496,3 +496,36 @@ def test_query_against_sql(spark, name, folder):
     assert columns == sorted(want.columns)
     plain = lambda found: sorted(tuple(map(str, r)) for r in found)
     assert plain(got.select(*columns).collect()) == plain(want.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+# 5 line dedup, blocks
+
+
+def block_pages(rng):
+    """400 pages of a host: 20 with a block of five lines, 20 copies of one page (of two hosts' lines, some changed), a common line."""
+    block = [f"Licence line {k}: all rights of this text are kept by its authors." for k in range(5)]
+    copied = [f"copied line {k} that is long enough to be judged by the lowest ratio of all" for k in range(12)]
+    own = lambda i, n: [f"page {i} has a line of its own with number {k} and {rng.random()}" for k in range(n)]
+    out = []
+    for i in range(400):
+        if i < 20:
+            lines = [*own(i, 4), *block, *own(i, 3)]
+        elif i < 40:
+            lines = list(copied)
+            lines[rng.randrange(12)] = f"changed in copy {i}"
+        else:
+            lines = own(i, 6)
+        if i % 4 == 0:
+            lines.insert(rng.randrange(len(lines) + 1), "menu")
+        out.append((i, "\n".join(lines), "h"))
+    return out, block, copied
+
+
+def test_a_block_of_lines_goes_as_a_whole_and_copies_stay(spark):
+    pages, block, copied = block_pages(random.Random(23))
+    table = spark.createDataFrame(pages, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in rows(line_dedup.line_dedup(table, low_ratios=line_dedup.LOW_RATIOS))}
+    for i, text, _ in pages:
+        gone = {"menu", *block}
+        assert got[i] == [x for x in text.split("\n") if x not in gone]
+    assert all(sum(x in copied for x in got[i]) == 11 for i in range(20, 40))
