@@ -35,7 +35,7 @@ FILTER_BITS = 1 << 25
 COVERED_PERCENT = 50
 SCALE = 1_000_000
 #: Bytes of text that a task counts at once.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 _SEGMENT = 1 << 15
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands between pieces. No word holds a capital letter after lower-casing.
@@ -78,9 +78,11 @@ def longer_hashes(shorter: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def count_phrases(lang: str, words: list[bytes], longest: int, with_words: bool, now: Filters, before: Filters) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """size, phrases, counts: words if wanted, and the longer phrases that pass ``now`` and did not pass ``before``."""
+    """size, phrases, counts: words if wanted, and the longer phrases that pass ``now`` and did not pass ``before``. ``words`` is emptied."""
     coded = pa.array(words, pa.binary()).dictionary_encode()
+    words.clear()
     key, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    del coded
     key[key == next((i for i, w in enumerate(vocabulary) if w == _END), -1)] = -1
     if with_words:
         n = np.bincount(key[key >= 0], minlength=len(vocabulary))
