@@ -90,3 +90,19 @@ def sweep(det: DataFrame, truth: DataFrame, edges: DataFrame) -> DataFrame:
     summed = running_sums(by_score, {"tp": "__tp", "fp": "__fp"}, ["__order"], [])
     n = truth.agg(F.count("*").alias("n_truth"))
     return summed.crossJoin(F.broadcast(n)).select(F.col("score").alias("threshold"), (F.col("__tp") + F.col("tp")).alias("tp"), (F.col("__fp") + F.col("fp")).alias("fp"), "n_truth")
+
+
+def false_positive_outcomes(det: DataFrame, edges: DataFrame, first: int, second: int, threshold: float, arm: str = "arm") -> DataFrame:
+    """arm, det_id, cls, outcome of two arms' unmatched detections.
+
+    Those of one image and class are paired greedily by overlap: shared_fp and second_of_shared are the two of a pair, fixed_fp is
+    the first arm's alone, new_fp the second's. ``edges`` are the matches of both arms (arm, det_id).
+    """
+    wrong = det.where(F.col(arm).isin(first, second)).join(edges.select(arm, "det_id"), [arm, "det_id"], "left_anti")
+    right = wrong.where(F.col(arm) == second).withColumnRenamed("det_id", "ann_id")
+    pairs = greedy_pairs(candidates(wrong.where(F.col(arm) == first), right, ["image_id", "cls"]), ["image_id"], threshold)
+    ends = pairs.select(F.lit(first).alias(arm), "det_id").unionByName(pairs.select(F.lit(second).alias(arm), F.col("ann_id").alias("det_id"))).withColumn("paired", F.lit(True))
+    met = wrong.join(ends, [arm, "det_id"], "left")
+    is_first = F.col(arm) == first
+    outcome = F.when(F.col("paired") & is_first, "shared_fp").when(F.col("paired"), "second_of_shared").when(is_first, "fixed_fp").otherwise("new_fp")
+    return met.select(arm, "det_id", "cls", outcome.alias("outcome"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "class_bucket_counts"
-_MODULES = ("profile_queries", "geometry_queries", "rule_queries", "join_queries", "matching_queries", "aggregate_queries", "sampling_queries", "analysis_queries", "audit_queries", "text_queries", "stream_queries", "guard_queries", "context_queries", "mask_queries", "evidence_queries")
+_MODULES = ("profile_queries", "geometry_queries", "rule_queries", "join_queries", "matching_queries", "aggregate_queries", "sampling_queries", "analysis_queries", "audit_queries", "text_queries", "stream_queries", "guard_queries", "context_queries", "mask_queries", "evidence_queries", "evaluation_queries")
 _FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
