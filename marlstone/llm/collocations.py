@@ -35,7 +35,7 @@ FILTER_BITS = 1 << 25
 COVERED_PERCENT = 50
 SCALE = 1_000_000
 #: Bytes of text that a task counts at once.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 5 << 20
 _SEGMENT = 1 << 15
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Stands between pieces. No word holds a capital letter after lower-casing.
@@ -90,38 +90,28 @@ def count_phrases(lang: str, words: list[bytes], longest: int, with_words: bool,
         yield 1, [vocabulary[i] for i in at], n[at]
     if not now.get(1):
         return
-    own = hashes = word_hashes(lang.encode() + b"\t", vocabulary)
-    made: list[tuple[np.ndarray, np.ndarray]] = []  # of each longer size: phrase of all words but the last, last word
-    last, n_phrases = np.arange(len(vocabulary)), len(vocabulary)
-    ok, old = np.ones(n_phrases, bool), np.ones(n_phrases, bool)
-
-    def texts(size: int, at: np.ndarray) -> list[bytes]:
-        if size == 1:
-            return [vocabulary[i] for i in at.tolist()]
-        shorter, ends = (x[at] for x in made[size - 2])
-        needed, where = np.unique(shorter, return_inverse=True)
-        begun = texts(size - 1, needed)
-        return [begun[i] + b" " + vocabulary[j] for i, j in zip(where.tolist(), ends.tolist())]
-
+    own = word_hashes(lang.encode() + b"\t", vocabulary)
+    # of the phrase that begins at each place: its hash, whether it is active now, and whether it was before
+    h, real = own[key], key >= 0
+    active, old = real & _passes(now[1], own)[key], real & _passes(before.get(1, b""), own)[key]
     for size in range(2, longest + 1):
-        if not now.get(size - 1):
-            return
-        ok, old = ok & _passes(now[size - 1], hashes), old & _passes(before.get(size - 1, b""), hashes)
-        live = np.where(key >= 0, ok[key], False)
-        at = np.flatnonzero(live[:-1] & live[1:])
-        if not len(at):
+        both, done = active[:-1] & active[1:], old[:-1] & old[1:]
+        at = np.flatnonzero(both & ~done)
+        if len(at):
+            yield size, *_distinct(key, vocabulary, at, size)
+        if size == longest or not now.get(size):
             return
-        pairs, inverse, n = np.unique(key[at] * n_phrases + key[at + 1], return_inverse=True, return_counts=True)
-        a, b = pairs // n_phrases, pairs % n_phrases
-        last, old, ok, n_phrases = last[b], old[a] & old[b], np.ones(len(pairs), bool), len(pairs)
-        hashes = longer_hashes(hashes[a], own[last])
-        made.append((a, last))
-        fresh = np.flatnonzero(~old)
-        if len(fresh):
-            yield size, texts(size, fresh), n[fresh]
-        grown = np.full(len(key) - 1, -1, np.int64)
-        grown[at] = inverse
-        key = grown
+        h = longer_hashes(h[:-1], own[key[size - 1 :]])
+        active, old = both & _passes(now[size], h), done & _passes(before.get(size, b""), h)
+
+
+def _distinct(key: np.ndarray, vocabulary: list[bytes], at: np.ndarray, size: int) -> tuple[list[bytes], np.ndarray]:
+    """The different phrases of ``size`` words that begin at the places ``at``, and how often each does."""
+    code = key[at]
+    for j in range(1, size):
+        _, first, code, n = np.unique(code * len(vocabulary) + key[at + j], return_index=True, return_inverse=True, return_counts=True)
+    begin = at[first]
+    return [b" ".join(words) for words in zip(*([vocabulary[i] for i in key[begin + j].tolist()] for j in range(size)))], n
 
 
 def _scan(shared, longest: int, with_words: bool, flush: int):
