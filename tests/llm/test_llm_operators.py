@@ -489,7 +489,7 @@ def test_query_against_sql(spark, name, folder):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/{folder}/{t}.parquet'")
     got, want = registry.queries()[name](spark, f"/root/testdata/{folder}"), con.sql(registry.oracle_sql()[name])
     columns = sorted(got.columns)
