@@ -9,7 +9,8 @@ over the files stands one row for each. A lookup searches the files' first keys
 searches it by bisection, reads one range of the file for each block that may hold the key, and one range of an archive for
 each capture. Many lookups are sorted and dealt by range, so that a task reads a directory and a block once.
 
-Payloads go from the table into the archives and no other way: which records are revisits is found on ids and digests.
+Which records are revisits is found on ids and digests. Up to ``BROADCAST_REVISITS`` of them payloads go from the table into the
+archives and no other way; beyond, pages meet the revisits' ids in a shuffle join, payloads with them.
 """
 
 from __future__ import annotations
