@@ -7,6 +7,8 @@ and a group is the character with its value plus 48.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ def _shift_right(x: Column, by: Column) -> Column:
     return F.call_function("shiftright", x, by)
 
 
-def _characters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names more than once, made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def from_pixels(mask: Column) -> Column:
@@ -39,31 +42,39 @@ def to_pixels(counts: Column) -> Column:
 def encode(counts: Column) -> Column:
     """The compact text of counts."""
 
-    def number(n: Column, i: Column) -> Column:
-        x = (n - F.when(i > 2, F.get(counts, i - 2)).otherwise(F.lit(0))).cast("long")
-        groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda k: F.struct(_shift_right(x, 5 * k).bitwiseAND(F.lit(31).cast("long")).alias("v"), _shift_right(x, 5 * k + 5).alias("rest")))
-        ends = F.transform(groups, lambda g: F.when(g["v"].bitwiseAND(F.lit(16)) > 0, g["rest"] == -1).otherwise(g["rest"] == 0))
-        size = F.array_position(ends, F.lit(True)).cast("int")
-        return F.array_join(F.transform(F.slice(groups, F.lit(1), size), lambda g, k: F.char(g["v"] + 48 + F.when(k < size - 1, F.lit(32)).otherwise(F.lit(0)))), "")
+    def number(n: Column, before: Column) -> Column:
+        x = n.cast("long") - before
+        group = lambda k, more: F.char(_shift_right(x, F.lit(5 * k)).bitwiseAND(F.lit(31).cast("long")) + (80 if more else 48))
+        text = F.when(x.between(-16, 15), group(0, False))
+        for size in range(2, GROUPS + 1):
+            text = text.when(x.between(-(1 << 5 * size - 1), (1 << 5 * size - 1) - 1), F.concat(*[group(k, k < size - 1) for k in range(size)]))
+        return text
+
+    # the counts stand beside those two before them, not within the function, where they would be made anew for each number
+    zero = F.lit(0).cast("long")
+    before = F.concat(F.array(zero, zero, zero), F.slice(counts, F.lit(2), F.greatest(F.size(counts) - 3, F.lit(0))))
+    return F.array_join(F.zip_with(counts, before, number), "")
+
 
-    return F.array_join(F.transform(counts, number), "")
+#: Characters after which a number goes on.
+_MORE = r"\x10-\x2FP-o"
 
 
 def decode(text: Column) -> Column:
     """Counts of a compact text. A text that ends within a number is an error."""
-    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("counts"), F.lit(0).cast("long").alias("x"), F.lit(0).alias("k"))
 
-    def step(acc: Column, c: Column) -> Column:
-        v = (F.ascii(c) - 48).cast("long")
-        x = acc["x"].bitwiseOR(_shift_left(v.bitwiseAND(F.lit(31).cast("long")), 5 * acc["k"]))
-        more = v.bitwiseAND(F.lit(32).cast("long")) > 0
-        signed = F.when(v.bitwiseAND(F.lit(16).cast("long")) > 0, x.bitwiseOR(_shift_left(F.lit(-1).cast("long"), 5 * acc["k"] + 5))).otherwise(x)
-        whole = signed + F.when(F.size(acc["counts"]) > 2, F.get(acc["counts"], F.size(acc["counts"]) - 2)).otherwise(F.lit(0).cast("long"))
-        nothing = F.lit(0)
-        return F.when(more, F.struct(acc["counts"].alias("counts"), x.alias("x"), (acc["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(acc["counts"], F.array(whole)).alias("counts"), nothing.cast("long").alias("x"), nothing.alias("k")))
+    def number(token: Column) -> Column:
+        n = F.length(token)
+        value = lambda k: (F.ascii(F.substring(token, k + 1, 1) if isinstance(k, int) else F.substring(token, k + F.lit(1), F.lit(1))) - 48).cast("long").bitwiseAND(F.lit(31).cast("long"))
+        long = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(_shift_left(value(k), 5 * k)))
+        x = F.when(n == 1, value(0)).when(n == 2, value(0).bitwiseOR(_shift_left(value(1), F.lit(5)))).otherwise(long)
+        negative = (F.ascii(F.right(token, F.lit(1))) - 48).bitwiseAND(F.lit(16)) > 0
+        return F.when(negative, x.bitwiseOR(_shift_left(F.lit(-1).cast("long"), 5 * n))).otherwise(x)
 
+    step = lambda acc, x: F.concat(acc, F.array(x + F.when(F.size(acc) > 2, F.get(acc, F.size(acc) - 2)).otherwise(F.lit(0).cast("long"))))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)[{_MORE}]*[^{_MORE}]"), F.lit(0)), number)
     bad = F.raise_error(F.lit("a run-length text ends within a number")).cast("array<bigint>")
-    return F.aggregate(_characters(text), start, step, lambda acc: F.when(acc["k"] > 0, bad).otherwise(acc["counts"]))
+    return F.when(text.rlike(rf"[{_MORE}]\z"), bad).otherwise(F.aggregate(numbers, F.expr("cast(array() as array<bigint>)"), step))
 
 
 def area(counts: Column) -> Column:
@@ -87,7 +98,7 @@ def overlap(a: Column, b: Column) -> Column:
     ends = lambda counts: F.flatten(F.transform(runs(counts), lambda r: F.array(F.struct(r["start"].alias("at"), F.lit(1).alias("by")), F.struct(r["stop"].alias("at"), F.lit(-1).alias("by")))))
     zero = F.lit(0).cast("long")
     step = lambda acc, e: F.struct((acc["sum"] + F.when(acc["open"] == 2, e["at"] - acc["at"]).otherwise(zero)).alias("sum"), e["at"].alias("at"), (acc["open"] + e["by"]).alias("open"))
-    return F.aggregate(F.array_sort(F.concat(ends(a), ends(b))), F.struct(zero.alias("sum"), zero.alias("at"), F.lit(0).alias("open")), step, lambda acc: acc["sum"])
+    return F.aggregate(F.sort_array(F.concat(ends(a), ends(b))), F.struct(zero.alias("sum"), zero.alias("at"), F.lit(0).alias("open")), step, lambda acc: acc["sum"])
 
 
 def mask_iou(a: Column, b: Column, crowd: Column | None = None) -> Column:
@@ -101,8 +112,12 @@ def mask_iou(a: Column, b: Column, crowd: Column | None = None) -> Column:
 
 def bounds(counts: Column, height: Column) -> Column:
     """x, y, w, h of the smallest box around a mask of the given height; null for an empty one."""
-    own = F.transform(runs(counts), lambda r: F.struct(F.floor(r["start"] / height).alias("x0"), F.floor((r["stop"] - 1) / height).alias("x1"), (r["start"] % height).alias("y0"), ((r["stop"] - 1) % height).alias("y1")))
+    each = F.transform(runs(counts), lambda r: F.struct(F.floor(r["start"] / height).alias("x0"), F.floor((r["stop"] - 1) / height).alias("x1"), (r["start"] % height).alias("y0"), ((r["stop"] - 1) % height).alias("y1")))
     across = lambda r: r["x0"] < r["x1"]
-    x, y = F.array_min(F.transform(own, lambda r: r["x0"])), F.array_min(F.transform(own, lambda r: F.when(across(r), F.lit(0).cast("long")).otherwise(r["y0"])))
-    x1, y1 = F.array_max(F.transform(own, lambda r: r["x1"])), F.array_max(F.transform(own, lambda r: F.when(across(r), height.cast("long") - 1).otherwise(r["y1"])))
-    return F.when(F.size(own) > 0, F.struct(x.alias("x"), y.alias("y"), (x1 - x + 1).alias("w"), (y1 - y + 1).alias("h")))
+
+    def box(own: Column) -> Column:
+        x, y = F.array_min(F.transform(own, lambda r: r["x0"])), F.array_min(F.transform(own, lambda r: F.when(across(r), F.lit(0).cast("long")).otherwise(r["y0"])))
+        x1, y1 = F.array_max(F.transform(own, lambda r: r["x1"])), F.array_max(F.transform(own, lambda r: F.when(across(r), height.cast("long") - 1).otherwise(r["y1"])))
+        return F.when(F.size(own) > 0, F.struct(x.alias("x"), y.alias("y"), (x1 - x + 1).alias("w"), (y1 - y + 1).alias("h")))
+
+    return _once(each, box)

@@ -36,9 +36,9 @@ bx AS (SELECT ann_id, min(p // 13) AS bx, min(p % 13) AS by_, max(p // 13) - min
 SELECT ann_id, code, coalesce(area, 0) AS area, bx, by_ AS by, bw, bh FROM tx LEFT JOIN bx USING (ann_id)"""))
 def mask_codes(spark, sf_dir):
     """Each mask's compact text, and its area and box from the decoded text."""
-    coded = masks(spark, sf_dir).select("ann_id", rle.encode(rle.from_pixels(F.col("pixels"))).alias("code")).withColumn("counts", rle.decode(F.col("code")))
-    box = rle.bounds(F.col("counts"), F.lit(13))
-    return coded.select("ann_id", "code", rle.area(F.col("counts")).alias("area"), box["x"].alias("bx"), box["y"].alias("by"), box["w"].alias("bw"), box["h"].alias("bh"))
+    coded = masks(spark, sf_dir).select("ann_id", rle.from_pixels(F.col("pixels")).alias("runs")).select("ann_id", rle.encode(F.col("runs")).alias("code")).withColumn("counts", rle.decode(F.col("code")))
+    told = coded.select("ann_id", "code", rle.area(F.col("counts")).alias("area"), rle.bounds(F.col("counts"), F.lit(13)).alias("box"))
+    return told.select("ann_id", "code", "area", *[F.col("box")[c].alias(f"b{c}") for c in "xywh"])
 
 
 @query(sql(f"""
