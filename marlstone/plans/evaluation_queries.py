@@ -75,7 +75,7 @@ SELECT s.item_id, sha256('item ' || s.item_id) AS sha256, lower(lpad(to_hex(hash
 def grouped_manifest(spark, sf_dir):
     """Every item's digest, perceptual hash, near-duplicate group, split (whole groups) and whether it is on the test blocklist."""
     v = vectors(spark, sf_dir)
-    groups = graph.grouped(v, joins.guarded_pairs(v, BASE, GUARD, COSINE))
+    groups = graph.grouped(v, joins.guarded_pairs(v, BASE, GUARD, COSINE, forest=True))
     digests = v.select("item_id", F.sha2(F.concat(F.lit("item "), F.col("item_id").cast("string")), 256).alias("sha256"))
     return audit.manifest(digests, v.select("item_id", "hash"), groups)
 
