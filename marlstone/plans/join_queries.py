@@ -97,7 +97,7 @@ SELECT node AS item_id, min(low) AS group_id FROM r GROUP BY node""")
 def near_duplicate_groups(spark, sf_dir):
     """Connected components of the guarded pairs, by their smallest item."""
     v = vectors(spark, sf_dir)
-    return graph.grouped(v, joins.guarded_pairs(v, BASE, GUARD, COSINE))
+    return graph.grouped(v, joins.guarded_pairs(v, BASE, GUARD, COSINE, forest=True))
 
 
 @query(f"WITH {VEC.strip()}, two AS (SELECT a AS item_id, hamming FROM edge UNION ALL SELECT b, hamming FROM edge) SELECT item_id, min(hamming) AS distance FROM two GROUP BY item_id")
@@ -148,7 +148,7 @@ def single_pair_medians(spark, sf_dir):
 def frozen_split(spark, sf_dir):
     """Whole near-duplicate groups allotted to train, val and test; every item once. Held against a plain loop in tests."""
     v = vectors(spark, sf_dir)
-    groups = graph.grouped(v, joins.guarded_pairs(v, BASE, GUARD, COSINE))
+    groups = graph.grouped(v, joins.guarded_pairs(v, BASE, GUARD, COSINE, forest=True))
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("size"))
     splits = allocate.allocate(sizes, {"train": 0.7, "val": 0.15, "test": 0.15})
     return groups.join(splits.select("group_id", "split"), "group_id").select("item_id", "group_id", "split")
