@@ -29,22 +29,22 @@ def greedy(pairs: DataFrame, group: list[str], threshold: float, *, last_of_equa
     the last, with ``last_of_equal``); the best is taken if its IoU reaches ``threshold``. A truth is free until taken.
     """
     tie = -F.col("ann_id") if last_of_equal else F.col("ann_id")
-    option = F.struct((-F.col("iou")).alias("o"), tie.alias("t"), "ann_id", "iou")
-    per_det = pairs.groupBy(*group, "det_id", "score").agg(F.array_sort(F.collect_list(option)).alias("options"))
-    per_group = per_det.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_id", "options"))).alias("dets"))
+    # a candidate under the threshold is never taken, nor is one behind it in its detection's order, so only the others are grouped
+    option = F.struct((-F.col("score")).alias("s"), "det_id", (-F.col("iou")).alias("o"), tie.alias("t"), "ann_id", "iou")
+    rows = pairs.where(F.col("iou") >= threshold).groupBy(*group).agg(F.sort_array(F.collect_list(option)).alias("options"))
 
-    def step(edges: Column, d: Column) -> Column:
-        free = F.get(F.filter(d["options"], lambda o: ~F.exists(edges, lambda e: e["ann_id"] == o["ann_id"])), F.lit(0))
-        edge = F.struct(d["det_id"].alias("det_id"), free["ann_id"].alias("ann_id"), free["iou"].alias("iou"))
-        return F.when(free["iou"] >= threshold, F.concat(edges, F.array(edge))).otherwise(edges)
+    def step(edges: Column, o: Column) -> Column:
+        edge = F.struct(o["det_id"].alias("det_id"), o["ann_id"].alias("ann_id"), o["iou"].alias("iou"))
+        return F.when(F.exists(edges, lambda e: (e["det_id"] == o["det_id"]) | (e["ann_id"] == o["ann_id"])), edges).otherwise(F.concat(edges, F.array(edge)))
 
-    edges = F.aggregate("dets", F.expr(_EDGES), step)
-    return per_group.select(*group, F.explode(edges).alias("e")).select(*group, "e.det_id", "e.ann_id", "e.iou")
+    one = F.transform("options", lambda o: F.struct(o["det_id"].alias("det_id"), o["ann_id"].alias("ann_id"), o["iou"].alias("iou")))
+    edges = F.when(F.size("options") == 1, one).otherwise(F.aggregate("options", F.expr(_EDGES), step))
+    return rows.select(*group, F.explode(edges).alias("e")).select(*group, "e.det_id", "e.ann_id", "e.iou")
 
 
 def greedy_pairs(pairs: DataFrame, group: list[str], threshold: float, left: str = "det_id", right: str = "ann_id") -> DataFrame:
     """Global greedy matching by (IoU desc, left, right): a pair is taken if both its ends are free."""
-    rows = pairs.where(F.col("iou") >= threshold).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col(left).alias("det_id"), F.col(right).alias("ann_id"), "iou"))).alias("pairs"))
+    rows = pairs.where(F.col("iou") >= threshold).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col(left).alias("det_id"), F.col(right).alias("ann_id"), "iou"))).alias("pairs"))
 
     def step(edges: Column, p: Column) -> Column:
         edge = F.struct(p["det_id"].alias("det_id"), p["ann_id"].alias("ann_id"), p["iou"].alias("iou"))
