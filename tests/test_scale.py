@@ -101,3 +101,43 @@ def test_greedy_groups_only_what_can_be_taken(spark):
     out = matching.greedy(rows, ["image_id"], 0.5)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 10, 6, 0.6), (1, 11, 7, 0.5)]
     assert plan_of(out).split("== Optimized Logical Plan ==")[1].split("==")[0].count("collect_list") == 1
+
+
+def test_flags_stand_in_one_row_a_detection(spark):
+    """A detection is one row whatever the ranges, and groups that span Arrow batches match as in a plain loop."""
+    rng = random.Random(9)
+    box = lambda: (rng.randrange(30), rng.randrange(30), rng.randrange(8, 40), rng.randrange(8, 40))
+    dets = [(rng.choice([0, 1, None]), n, rng.randrange(4), rng.choice(["a", "b", None]), *box(), rng.randrange(5) / 4) for n in range(400)]
+    dets += [(0, 1000 + n, 9, "a", 0, 0, 20, 20, 1.0 - n / 1000) for n in range(130)]
+    truths = [(n, rng.randrange(4), rng.choice(["a", "b", None]), *box(), rng.choice([True, False, False, None])) for n in range(60)] + [(n, 9, "a", 0, 0, 20, 20, False) for n in (100, 101)]
+    det = spark.createDataFrame(dets, "arm int, det_id long, image_id int, cls string, x int, y int, w int, h int, score double")
+    truth = spark.createDataFrame(truths, "ann_id long, image_id int, cls string, x int, y int, w int, h int, crowd boolean")
+    ranges, thresholds = [("all", 0, 10**8), ("small", 0, 400)], (0.3, 0.5, 0.7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = coco.flagged(det, truth, "arm", thresholds, ranges).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len({r.det_id for r in got}) == 500
+    found = {(r.det_id, i): (r[f"hit_{i}"], r[f"skip_{i}"]) for r in got for i in (0, 1)}
+    want = {}
+
+    def overlap(d, t, crowd):
+        w, h = (min(d[i] + d[i + 2], t[i] + t[i + 2]) - max(d[i], t[i]) for i in (0, 1))
+        return w * h / (d[2] * d[3] if crowd else d[2] * d[3] + t[2] * t[3] - w * h) if w > 0 and h > 0 else 0.0
+
+    for group in {(d[0], d[2], d[3]) for d in dets}:
+        own = sorted((d for d in dets if (d[0], d[2], d[3]) == group), key=lambda d: (-d[-1], d[1]))[: coco.MAX_DETS]
+        near = [t for t in truths if t[1:3] == group[1:] and t[2] is not None]
+        for i, (_, low, high) in enumerate(ranges):
+            for bit, level in enumerate(thresholds):
+                used = set()
+                for d in own:
+                    able = [(overlap(d[4:8], t[3:7], t[7]), t) for t in near if t[7] or t[0] not in used]
+                    able = [(not (t[7] or not low <= t[5] * t[6] <= high), o, t[0]) for o, t in able if o >= level]
+                    hit, _, taken = max(able, default=(False, 0, None))
+                    used.add(taken)
+                    skip = not hit and (taken is not None or not low <= d[6] * d[7] <= high)
+                    before = want.get((d[1], i), (0, 0))
+                    want[d[1], i] = (before[0] | hit << bit, before[1] | skip << bit)
+    assert found == want
