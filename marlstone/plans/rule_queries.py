@@ -11,13 +11,14 @@ from marlstone.plans.fixtures import annotations, images, sql
 from marlstone.plans.registry import query
 
 
-def records(spark, sf_dir):
-    """image_id, width, height, instances in the order of their ids."""
+def records(spark, sf_dir, **measured):
+    """image_id, width, height, instances in the order of their ids, with further fields by name."""
     rows = annotations(spark, sf_dir).select(
         "image_id",
         F.struct(
             F.col("ann_id").alias("id"), "cls", "x", "y", "w", "h", F.when(F.col("ann_id") % 11 == 0, F.lit(False)).alias("kept"), ((F.col("ann_id") * 7 % 100) / 100).alias("visible"),
             F.when(F.col("ann_id") % 5 != 0, (F.col("ann_id") * 13 % 100) / 100).alias("coverage"), (F.col("ann_id") * 29 % 256).cast("double").alias("luma"),
+            *[value.alias(name) for name, value in measured.items()],
         ).alias("i"),
     )
     return rows.groupBy("image_id").agg(F.array_sort(F.collect_list("i")).alias("instances")).join(images(spark, sf_dir), "image_id")
@@ -180,10 +181,7 @@ _MEASURED = f", {_MEASURED_INST}, inst_v AS (SELECT * FROM inst), pr_v AS (SELEC
 
 def measured_records(spark, sf_dir):
     """``records`` whose instances have all measured fields."""
-    rows = annotations(spark, sf_dir).select("image_id", F.col("ann_id").alias("id"), F.struct(*[F.expr(e.replace("<>", "!=")).alias(k) for k, e in _FIELDS.items()]).alias("m"))
-    told = rows.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "m"))).alias("m"))
-    with_fields = lambda i: F.struct(*[i[c].alias(c) for c in ("id", "cls", "x", "y", "w", "h", "kept", "visible", "coverage", "luma")], *[F.col("m")[i["id"]][k].alias(k) for k in _FIELDS])
-    return records(spark, sf_dir).join(told, "image_id").withColumn("instances", F.transform("instances", with_fields)).drop("m")
+    return records(spark, sf_dir, **{k: F.expr(e.replace("<>", "!=")) for k, e in _FIELDS.items()})
 
 
 @query(sql(_MEASURED + """
@@ -200,7 +198,8 @@ def measured_record_filter(spark, sf_dir):
 def measured_reason_counts(spark, sf_dir):
     """Records that each reason rejects, alone or among others."""
     out = rules.judged_measured(measured_records(spark, sf_dir))
-    return out.select(F.explode("reject_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    # an explode that isn't outer tests its array first, and that test would judge every record anew
+    return out.select(F.explode_outer("reject_reasons").alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(sql("""

@@ -152,3 +152,13 @@ def test_lookup_leaves_facts_in_place(spark):
     physical = plan_of(found).split("== Physical Plan ==")[1]
     assert "BuildRight" in physical and "BuildLeft" not in physical and "Exchange hashpartitioning(k" not in physical
     assert sorted((r.id, r.v) for r in found.collect()) == [(i, 1 + i % 2) for i in range(100)]
+
+
+def test_reasons_are_judged_once(spark):
+    """Counting reasons judges no record a second time, and no rule filters instances anew within its function."""
+    from marlstone.plans import registry
+
+    for name in ("measured_reason_counts", "record_filter"):
+        optimized = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+        assert optimized.count("OUT_OF_BOUNDS") == optimized.count("ILLEGIBLE") == 1
+        assert optimized.count(".kept, true)") == 1
