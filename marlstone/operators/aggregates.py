@@ -32,6 +32,29 @@ def percentiles(value: str, *shares: float, scale: int = 6) -> list[Column]:
     return [F.round(F.percentile(value, F.lit(s)), scale).alias(f"p{round(s * 100)}") for s in shares]
 
 
+def grouped_percentiles(df: DataFrame, value: str, groups: list[str], *shares: float, scale: int = 6) -> DataFrame:
+    """``groups`` and the percentiles of ``percentiles``, for groups of any size.
+
+    Equal values are counted first, and running sums of the counts over range partitions say which values stand at the ranks
+    asked for, so that no task holds the values of a group. A group without a value has nulls. Groups are few: their sizes are broadcast.
+    """
+    counts = df.groupBy(*groups, value).agg(F.count(value).alias("__n"))
+    summed = running_sum(counts, "__n", [value], groups)
+    total = df.groupBy(*groups).agg(F.count(value).alias("__total"))
+    own = total.select(*[F.col(c).alias(f"__of_{c}") for c in groups], "__total")
+    met = summed.join(F.broadcast(own), [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in groups])
+    at = [F.lit(float(s)) * (F.col("__total") - 1) for s in shares]
+    holds = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
+    ends = [F.max(F.when(holds(rank(a)), F.col(value))).alias(f"__{side}{i}") for i, a in enumerate(at) for side, rank in (("low", F.floor), ("high", F.ceil))]
+    found = met.groupBy(*groups, "__total").agg(*ends)
+
+    def between(i: int) -> Column:
+        low, high = F.col(f"__low{i}").cast("double"), F.col(f"__high{i}").cast("double")
+        return F.when(F.floor(at[i]) == F.ceil(at[i]), low).otherwise((F.ceil(at[i]) - at[i]) * low + (at[i] - F.floor(at[i])) * high)
+
+    return found.select(*groups, *[F.round(between(i), scale).alias(f"p{round(s * 100)}") for i, s in enumerate(shares)])
+
+
 def precision_recall_f1(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     """Micro-averages; denominators count as 1 at least."""
     one = F.lit(1)

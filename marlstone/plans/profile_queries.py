@@ -125,4 +125,4 @@ def strata_metric_percentiles(spark, sf_dir):
     """Percentiles of each metric in each stratum, over an unpivot."""
     rows = table(spark, sf_dir, "lineitem").select(F.expr("case when l_quantity < 17 then 'low' when l_quantity < 34 then 'mid' else 'high' end").alias("least_bucket"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     long = rows.unpivot(["least_bucket"], ["price", "discount", "tax"], "metric", "v")
-    return long.groupBy("least_bucket", "metric").agg(*agg.percentiles("v", 0.1, 0.5, 0.9))
+    return agg.grouped_percentiles(long, "v", ["least_bucket", "metric"], 0.1, 0.5, 0.9)

@@ -162,3 +162,16 @@ def test_reasons_are_judged_once(spark):
         optimized = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
         assert optimized.count("OUT_OF_BOUNDS") == optimized.count("ILLEGIBLE") == 1
         assert optimized.count(".kept, true)") == 1
+
+
+def test_grouped_percentiles_hold_no_group(spark):
+    """Percentiles come from counts of equal values, as Spark's own would, null groups and values included."""
+    from marlstone.operators import aggregates as agg
+    from marlstone.plans import registry
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.choice(["a", "b", None]), rng.choice([None, *range(9)])) for _ in range(200)] + [("c", None), ("d", 4)], "g string, v int").withColumn("v", F.col("v").cast("double"))
+    shares = (0.0, 0.1, 0.5, 0.9, 1.0)
+    rows = lambda out: sorted(map(str, out.collect()))
+    assert rows(agg.grouped_percentiles(df, "v", ["g"], *shares)) == rows(df.groupBy("g").agg(*agg.percentiles("v", *shares)))
+    assert "percentile(" not in plan_of(registry.queries()["strata_metric_percentiles"](spark, "/root/testdata/sf0.001"))
