@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Groups of the longest number: runs of up to 2^34 pixels.
 GROUPS = 7
+#: Pairs of runs that ``shared_pixels`` measures at once.
+RUN_PAIRS = 1 << 20
 
 
 def _shift_left(x: Column, by: Column) -> Column:
@@ -101,6 +105,37 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.sort_array(F.concat(ends(a), ends(b))), F.struct(zero.alias("sum"), zero.alias("at"), F.lit(0).alias("open")), step, lambda acc: acc["sum"])
 
 
+def edges(counts: Column) -> Column:
+    """start and stop of each foreground run that isn't empty, flat and in order: what ``shared_pixels`` looks at, made once a mask."""
+    return F.flatten(F.transform(runs(counts), lambda r: F.array(r["start"], r["stop"])))
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All edges of the lists, where each list begins, and its length."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(n) - n, n
+
+
+def shared_pixels(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """``overlap`` of two columns of ``edges``, row by row: the overlaps of all pairs of runs, of which those within a mask are apart."""
+    (x, at_x, n_x), (y, at_y, n_y) = _flat(a), _flat(b)
+    pairs = (n_x // 2) * (n_y // 2)
+    ends, out, begin = np.cumsum(pairs), np.zeros(len(pairs), np.int64), 0
+    while begin < len(pairs):
+        done = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + RUN_PAIRS, side="right")))
+        own = np.arange(begin, end)
+        for i in range(0, int(pairs[own].max()), RUN_PAIRS):  # more than one round only for one pair of masks with very many runs
+            many = np.minimum(pairs[own] - i, RUN_PAIRS)
+            row = np.repeat(own, many)
+            k = i + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            p, q = at_x[row] + k // (n_y[row] // 2) * 2, at_y[row] + k % (n_y[row] // 2) * 2
+            shared = np.maximum(np.minimum(x[p + 1], y[q + 1]) - np.maximum(x[p], y[q]), 0)
+            np.add.at(out, row, shared)
+        begin = end
+    return out
+
+
 def mask_iou(a: Column, b: Column, crowd: Column | None = None) -> Column:
     """Shared pixels over those of either mask, or of ``a`` alone where ``b`` is a crowd; 0.0 for empty ones."""
     shared = overlap(a, b)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marlstone.functions import rle
@@ -41,6 +44,12 @@ def mask_codes(spark, sf_dir):
     return told.select("ann_id", "code", "area", *[F.col("box")[c].alias(f"b{c}") for c in "xywh"])
 
 
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shared = rle.shared_pixels(batch.column("l_edges"), batch.column("r_edges"))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "both")), pa.array(shared, pa.int64())], ["a", "b", "both", "shared"])
+
+
 @query(sql(f"""
 , {_GRID},
 px AS (SELECT ann_id, image_id, p FROM x0, range(169) r(p) WHERE p // 13 >= cx AND p // 13 < cx + cw AND p % 13 >= cy AND p % 13 < cy + ch AND NOT (ann_id % 4 = 0 AND p % 13 % 3 = 2)),
@@ -49,10 +58,11 @@ s AS (SELECT a.ann_id AS a, b.ann_id AS b, count(*) AS shared FROM px a JOIN px
 SELECT a, b, shared, round(shared / (x.n + y.n - shared), 9) AS iou FROM s JOIN n x ON x.ann_id = a JOIN n y ON y.ann_id = b"""))
 def mask_overlaps(spark, sf_dir):
     """Pixels that two masks of an image share, from their runs."""
-    coded = masks(spark, sf_dir).select("image_id", "ann_id", rle.from_pixels(F.col("pixels")).alias("counts"))
-    pairs = joins.pairs_in(coded, coded, ["image_id"]).where("l_ann_id < r_ann_id")
-    a, b = F.col("l_counts"), F.col("r_counts")
-    return pairs.select(F.col("l_ann_id").alias("a"), F.col("r_ann_id").alias("b"), rle.overlap(a, b).alias("shared"), F.round(rle.mask_iou(a, b), 9).alias("iou")).where("shared > 0")
+    counts = masks(spark, sf_dir).select("image_id", "ann_id", rle.from_pixels(F.col("pixels")).alias("counts"))
+    coded = counts.select("image_id", "ann_id", rle.area(F.col("counts")).alias("area"), rle.edges(F.col("counts")).alias("edges"))
+    pairs = joins.pairs_in(coded, coded, ["image_id"]).where("l_ann_id < r_ann_id").select(F.col("l_ann_id").alias("a"), F.col("r_ann_id").alias("b"), (F.col("l_area") + F.col("r_area")).alias("both"), "l_edges", "r_edges")
+    met = pairs.mapInArrow(_shared, "a long, b long, both long, shared long").where("shared > 0")
+    return met.select("a", "b", "shared", F.round(F.col("shared") / (F.col("both") - F.col("shared")), 9).alias("iou"))
 
 
 @query("""

@@ -175,3 +175,19 @@ def test_grouped_percentiles_hold_no_group(spark):
     rows = lambda out: sorted(map(str, out.collect()))
     assert rows(agg.grouped_percentiles(df, "v", ["g"], *shares)) == rows(df.groupBy("g").agg(*agg.percentiles("v", *shares)))
     assert "percentile(" not in plan_of(registry.queries()["strata_metric_percentiles"](spark, "/root/testdata/sf0.001"))
+
+
+def test_shared_pixels_of_runs_made_once(spark, monkeypatch):
+    """Column of edges against the overlap of two masks; a query on pairs makes no runs for a pair."""
+    from marlstone.plans import registry
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("01") for _ in range(rng.choice([0, 1, 9, 40]))) for _ in range(60)] + ["1" * 40, "0" * 40]
+    df = spark.createDataFrame([(rng.choice(texts), rng.choice(texts)) for _ in range(200)], "a string, b string")
+    each = df.select(*[rle.from_pixels(F.col(c)).alias(c) for c in "ab"]).select(rle.overlap(F.col("a"), F.col("b")).alias("n"), rle.edges(F.col("a")).alias("a"), rle.edges(F.col("b")).alias("b")).toArrow().combine_chunks()
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(rle, "RUN_PAIRS", most)
+        a, b = (each.column(c).combine_chunks() for c in "ab")
+        assert rle.shared_pixels(a, b).tolist() == each.column("n").to_pylist()
+    optimized = plan_of(registry.queries()["mask_overlaps"](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert "aggregate(" not in optimized.split("Join Inner")[0]
