@@ -28,7 +28,7 @@ def _shift_right(x: Column, by: Column) -> Column:
     return F.call_function("shiftright", x, by)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that it names more than once, made once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -155,4 +155,4 @@ def bounds(counts: Column, height: Column) -> Column:
         x1, y1 = F.array_max(F.transform(own, lambda r: r["x1"])), F.array_max(F.transform(own, lambda r: F.when(across(r), height.cast("long") - 1).otherwise(r["y1"])))
         return F.when(F.size(own) > 0, F.struct(x.alias("x"), y.alias("y"), (x1 - x + 1).alias("w"), (y1 - y + 1).alias("h")))
 
-    return _once(each, box)
+    return once(each, box)

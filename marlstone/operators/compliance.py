@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import geometry as g
+from marlstone.functions.rle import once
 from marlstone.operators.aggregates import rate, running_sums
 
 COMPLIANT, NON_COMPLIANT = "compliant", "non_compliant"
@@ -67,9 +68,9 @@ def geometric_pairing(dets: Column) -> Column:
 
     def of(d: Column) -> Column:
         worn = F.filter(dets, lambda t: (t["cls"] == "helmet") & g.worn(g.pair_descriptor(_box(d), _box(t))))
-        until = F.least(d["score"], F.array_max(F.transform(worn, lambda t: t["score"])))
-        until = F.when(F.size(worn) > 0, until)
-        return F.array_compact(F.array(F.when(until.isNotNull(), verdict(d, COMPLIANT, F.lit(None), until)), F.when(until.isNull() | (until < d["score"]), verdict(d, NON_COMPLIANT, until, d["score"]))))
+        until = once(worn, lambda own: F.when(F.size(own) > 0, F.least(d["score"], F.array_max(F.transform(own, lambda t: t["score"])))))
+        verdicts = lambda u: F.array(F.when(u.isNotNull(), verdict(d, COMPLIANT, F.lit(None), u)), F.when(u.isNull() | (u < d["score"]), verdict(d, NON_COMPLIANT, u, d["score"])))
+        return F.array_compact(once(until, verdicts))
 
     return F.flatten(F.transform(F.filter(dets, lambda d: d["cls"] == "head"), of))
 
