@@ -42,6 +42,16 @@ def intersection(a: Box, b: Box) -> Column:
     return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0))
 
 
+def apart(a: Box, b: Box) -> Column:
+    """Whether one box ends before the other begins, which is told in few steps; null where a side is missing."""
+    return (a.x >= b.x + b.w) | (b.x >= a.x + a.w) | (a.y >= b.y + b.h) | (b.y >= a.y + a.h)
+
+
+def meets(a: Box, b: Box) -> Column:
+    """Whether the intersection is over 0. Boxes that lie apart, as most do, are told without it: functions over arrays are interpreted, step by step."""
+    return F.when(apart(a, b), F.lit(False)).otherwise(intersection(a, b) > 0)
+
+
 def union_area(a: Box, b: Box) -> Column:
     return area(a) + area(b) - intersection(a, b)
 
