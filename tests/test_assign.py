@@ -77,3 +77,19 @@ def test_apart_rows_and_edges(spark):
     assert assign.assigned(t.limit(0), i, 1).count() == 0 and assign.assigned(t, i.limit(0), 1).count() == 0
     other, _ = frames(spark, [(1, "z", (5, 5), None), (2, None, (5, 5), 1)], items)
     assert assign.assigned(other, i, 1).count() == 0
+
+
+def test_later_phases_rank_few_items(spark, monkeypatch):
+    """What the first phase leaves asks for few uses; items whose hash lies behind those are not sorted again."""
+    ranked, summed = [], assign.running_sum
+
+    def seen(rows, n, order, partition):
+        if "item_id" in order:
+            ranked.append(rows.count())
+        return summed(rows, n, order, partition)
+
+    monkeypatch.setattr(assign, "running_sum", seen)
+    t, i = frames(spark, [(k, "a", (10, 10), k) for k in range(400)], [(1000 + k, "a", (10, 10), k if k % 10 == 0 else -1) for k in range(2000)])
+    got = assign.assigned(t, i, 1).collect()
+    assert len(got) == len({r.item_id for r in got}) == 400 and all(r.target_id != r.item_id - 1000 or r.target_id % 10 for r in got)
+    assert len(ranked) > 1 and all(n < 400 for n in ranked[1:])
