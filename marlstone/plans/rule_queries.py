@@ -21,7 +21,7 @@ def records(spark, sf_dir, **measured):
             *[value.alias(name) for name, value in measured.items()],
         ).alias("i"),
     )
-    return rows.groupBy("image_id").agg(F.array_sort(F.collect_list("i")).alias("instances")).join(images(spark, sf_dir), "image_id")
+    return rows.groupBy("image_id").agg(F.sort_array(F.collect_list("i")).alias("instances")).join(images(spark, sf_dir), "image_id")
 
 
 _INST = """
@@ -58,7 +58,7 @@ SELECT i.image_id, coalesce(string_agg(r, ',' ORDER BY o), '') AS reject_reasons
 FROM (SELECT DISTINCT image_id FROM inst) i LEFT JOIN d USING (image_id) GROUP BY i.image_id"""))
 def record_filter(spark, sf_dir):
     """Every rule runs; reasons are distinct in first-seen order."""
-    out = rules.judged(records(spark, sf_dir))
+    out = rules.judged_by_key(records(spark, sf_dir), ["image_id"])
     return out.select("image_id", F.array_join("reject_reasons", ",").alias("reject_reasons"), "first_reason", "passed")
 
 
@@ -66,7 +66,7 @@ def record_filter(spark, sf_dir):
 f AS (SELECT image_id, arg_min(r, struct_pack(o1 := o1, o2 := o2, o3 := o3)) AS first_reason FROM rs GROUP BY image_id)
 SELECT coalesce(first_reason, 'ACCEPTED') AS outcome, count(*) AS n FROM (SELECT DISTINCT image_id FROM inst) i LEFT JOIN f USING (image_id) GROUP BY 1"""))
 def first_reason_funnel(spark, sf_dir):
-    return rules.judged(records(spark, sf_dir)).groupBy(F.coalesce("first_reason", F.lit("ACCEPTED")).alias("outcome")).agg(F.count("*").alias("n"))
+    return rules.judged_by_key(records(spark, sf_dir), ["image_id"]).groupBy(F.coalesce("first_reason", F.lit("ACCEPTED")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 _VARIANTS = ", ".join("(" + ", ".join([f"'{r[0]}'", f"{r[1]}::DOUBLE", *[f"{v!r}::DOUBLE" for v in r[2:]]]) + ")" for r in rules.variants(rules.DEFAULTS))
@@ -190,16 +190,14 @@ SELECT i.image_id, coalesce(string_agg(r, ',' ORDER BY o), '') AS reject_reasons
 FROM (SELECT DISTINCT image_id FROM inst) i LEFT JOIN d USING (image_id) GROUP BY i.image_id"""))
 def measured_record_filter(spark, sf_dir):
     """Every rule, those over measured masks, placement, sizes, seams and hard negatives too."""
-    out = rules.judged_measured(measured_records(spark, sf_dir))
+    out = rules.judged_by_key(measured_records(spark, sf_dir), ["image_id"], measured={})
     return out.select("image_id", F.array_join("reject_reasons", ",").alias("reject_reasons"), "first_reason", "passed")
 
 
 @query(sql(_MEASURED + "n AS (SELECT r, count(DISTINCT image_id) AS n FROM rs GROUP BY r) SELECT r AS reason, n FROM n"))
 def measured_reason_counts(spark, sf_dir):
     """Records that each reason rejects, alone or among others."""
-    out = rules.judged_measured(measured_records(spark, sf_dir))
-    # an explode that isn't outer tests its array first, and that test would judge every record anew
-    return out.select(F.explode_outer("reject_reasons").alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return rules.reason_counts(measured_records(spark, sf_dir), ["image_id"], measured={})
 
 
 @query(sql("""

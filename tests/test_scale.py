@@ -213,3 +213,44 @@ def test_a_helmet_looks_for_its_person_once(spark):
     assert plan_of(out).split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0].count("filter(__persons") == 1
     assert out.first().r == ["NOT_CONTAINED"]
     assert found(df.withColumn("instances", F.filter("instances", lambda i: i["id"] != 3))).first().r == []
+
+
+def test_rows_give_the_reasons_of_arrays(spark):
+    """Records judged in rows of instances and pairs: missing fields, arrays and elements, thresholds that boxes apart break, and every bound a class may have."""
+    rng = random.Random(13)
+    some = lambda x: None if rng.random() < 0.1 else x
+    side = lambda: some(rng.choice([0, 1, 8, 20, 30, 60]))
+
+    def instance(j):
+        place = (some(rng.randrange(-20, 70)), some(rng.randrange(-20, 70)), side(), side())
+        measured = (some(rng.choice(["pasted", "existing", "hard_negative"])), some(rng.random() < 0.8), some(rng.random() < 0.1), some(rng.random() < 0.5), some(rng.random() / 2), some(rng.random() * 7), some(rng.random() / 15))
+        return (some(rng.choice([j, j, 9 - j])), some(rng.choice(["head", "helmet", "person", "person", "dog"])), *place, some(rng.random() < 0.9), some(rng.random()), some(rng.random()), some(rng.random() * 250), *measured)
+
+    arrays = [None, [], [None], *[[some(instance(j)) for j in range(rng.randrange(1, 7))] for _ in range(400)]]
+    rows = [(n, n % 7, 100, some(90), own) for n, own in enumerate(arrays)]
+    fields = "id:int,cls:string,x:int,y:int,w:int,h:int,kept:boolean,visible:double,coverage:double,luma:double"
+    df = spark.createDataFrame(rows, f"n int, k int, width int, height int, instances array<struct<{fields},kind:string,mask_ok:boolean,retries_exhausted:boolean,behind:boolean,poke:double,seam:double,annotation_iou:double>>").repartition(3)
+    plain = df.withColumn("instances", F.transform("instances", lambda i: i.dropFields(*rules.MEASURED_FIELDS)))
+    loose = rules.literal_thresholds({k: v / 2 if k.split(".")[1].startswith("min") or k.startswith("luma") else v * 1.3 for k, v in rules.DEFAULTS.items()})
+    below = rules.literal_thresholds({"overlap.max_iou": -0.5})
+    odd = {"containment": 0.0, "over_person": {"head": (0.02, 0.4), "person": (1.5, 2.0)}}
+    rows_of = lambda out: {(r.n, r.k): (r.reject_reasons, r.first_reason, r.passed) for r in out.collect()}
+    found = set()
+    for data, t, measured in ((plain, loose, None), (df, below, None), (plain, loose, {}), (df, loose, {}), (df, below, odd)):
+        arrays = rows_of(rules.judged(data, t) if measured is None else rules.judged_measured(data, t, measured))
+        assert rows_of(rules.judged_by_key(data, ["n", "k"], t, measured)) == arrays and len(arrays) == 403
+        given = [r for reasons, *_ in arrays.values() for r in reasons or []]
+        found |= set(given)
+    assert {tuple(r) for r in rules.reason_counts(data, ["n", "k"], t, measured).collect()} == {(r, given.count(r)) for r in given}
+    assert found == {*rules.REASONS, *rules.MEASURED_REASONS}
+    assert rules.reason_counts(df.limit(0), ["n"]).collect() == []
+
+
+def test_records_are_spread_once_and_judged_in_rows(spark):
+    """Annotations reach their image's group by one exchange, and the only function over an array asks for an earlier person, of pairs that would be rejected."""
+    from marlstone.plans import registry
+
+    for name, earlier in (("measured_reason_counts", 2), ("measured_record_filter", 2), ("record_filter", 1)):
+        parts = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")
+        assert parts[0].count("exists(") == earlier and "transform(" not in parts[0]
+        assert parts[1].count("Exchange hashpartitioning") == 1, parts[1]
