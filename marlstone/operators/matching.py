@@ -7,10 +7,16 @@ fold's state stays small; images spread over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import geometry as g
+from marlstone.operators import coco
 from marlstone.operators.joins import pairs_in
 
 _EDGES = "CAST(array() AS array<struct<det_id:bigint,ann_id:bigint,iou:double>>)"
@@ -92,17 +98,59 @@ def sweep(det: DataFrame, truth: DataFrame, edges: DataFrame) -> DataFrame:
     return summed.crossJoin(F.broadcast(n)).select(F.col("score").alias("threshold"), (F.col("__tp") + F.col("tp")).alias("tp"), (F.col("__fp") + F.col("fp")).alias("fp"), "n_truth")
 
 
-def false_positive_outcomes(det: DataFrame, edges: DataFrame, first: int, second: int, threshold: float, arm: str = "arm") -> DataFrame:
+def _unmatched(first: int, second: int, threshold: float):
+    def unmatched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The images of a batch go side by side."""
+        for batch in batches:
+            boxes = batch.column("boxes")
+            flat = boxes.flatten()
+            column = lambda c, null: pc.fill_null(flat.field(c), null).to_numpy(zero_copy_only=False)
+            image = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(boxes), 0).to_numpy(zero_copy_only=False))
+            is_truth, arm, ids, score = np.asarray(pc.is_null(flat.field("arm"))), column("arm", 0), column("id", 0), column("score", np.inf)
+            xywh = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xywh"], axis=1)
+            code = pc.fill_null(flat.field("cls").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            # nothing is alike in a class or an image that isn't known
+            known = (code >= 0) & ~np.asarray(pc.is_null(batch.column("image_id")))[image]
+            group = image * (code.max(initial=0) + 2) + code + 1
+            truth, det = np.flatnonzero(is_truth & known), np.flatnonzero(~is_truth & ((arm == first) | (arm == second)))
+            truth = truth[np.lexsort((-ids[truth], group[truth]))]  # the last of equals is taken, which is the first by id
+            det = det[np.lexsort((ids[det], -score[det], arm[det], group[det]))]
+            if not len(det):
+                continue
+
+            def met(of: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                begin, end = (np.searchsorted(group[others], group[of], side) for side in ("left", "right"))
+                return begin, np.where(known[of], end - begin, 0)
+
+            run = np.cumsum(np.r_[True, (group[det][1:] != group[det][:-1]) | (arm[det][1:] != arm[det][:-1])]) - 1
+            hit, _ = coco.matched(xywh[det], run, xywh[truth], np.zeros(len(truth), bool), *met(det, truth), [threshold], [(-np.inf, np.inf)])
+            wrong = det[hit[0] == 0]
+            left, right = (wrong[(arm[wrong] == a) & known[wrong]] for a in (first, second))
+            l, r, overlap = coco.near(xywh[left], xywh[right], np.zeros(len(right), bool), *met(left, right), threshold)
+            l, r = left[l], right[r]
+            order = np.lexsort((ids[r], ids[l], -overlap, group[l]))
+            l, r = l[order], r[order]
+            step = np.arange(len(l)) - coco.starts(group[l])
+            order, begin, paired = np.argsort(step, kind="stable"), 0, np.zeros(len(ids), bool)
+            for end in np.cumsum(np.bincount(step)).tolist():  # the k-th pairs of all images and classes
+                a, b = l[order[begin:end]], r[order[begin:end]]
+                free = ~paired[a] & ~paired[b]
+                paired[a[free]] = paired[b[free]] = True
+                begin = end
+            outcome = np.where(paired[wrong], 0, 2) + (arm[wrong] != first)
+            own = [flat.field(c).take(pa.array(wrong)) for c in ("arm", "id", "cls")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(["shared_fp", "second_of_shared", "fixed_fp", "new_fp"]).take(pa.array(outcome))], ["arm", "det_id", "cls", "outcome"])
+
+    return unmatched
+
+
+def false_positive_outcomes(scenes: DataFrame, first: int, second: int, threshold: float) -> DataFrame:
     """arm, det_id, cls, outcome of two arms' unmatched detections.
 
-    Those of one image and class are paired greedily by overlap: shared_fp and second_of_shared are the two of a pair, fixed_fp is
-    the first arm's alone, new_fp the second's. ``edges`` are the matches of both arms (arm, det_id).
+    ``scenes`` has a row for each image, with its ``boxes``: structs of arm (null for a truth), id, cls, x, y, w, h, score. Each arm's
+    detections are matched to truths of their class as by ``greedy``. The unmatched ones of one image and class are paired greedily by
+    overlap, as by ``greedy_pairs``: shared_fp and second_of_shared are the two of a pair, fixed_fp is the first arm's alone,
+    new_fp the second's. All of it is done where the image lies.
     """
-    wrong = det.where(F.col(arm).isin(first, second)).join(edges.select(arm, "det_id"), [arm, "det_id"], "left_anti")
-    right = wrong.where(F.col(arm) == second).withColumnRenamed("det_id", "ann_id")
-    pairs = greedy_pairs(candidates(wrong.where(F.col(arm) == first), right, ["image_id", "cls"]), ["image_id"], threshold)
-    ends = pairs.select(F.lit(first).alias(arm), "det_id").unionByName(pairs.select(F.lit(second).alias(arm), F.col("ann_id").alias("det_id"))).withColumn("paired", F.lit(True))
-    met = wrong.join(ends, [arm, "det_id"], "left")
-    is_first = F.col(arm) == first
-    outcome = F.when(F.col("paired") & is_first, "shared_fp").when(F.col("paired"), "second_of_shared").when(is_first, "fixed_fp").otherwise("new_fp")
-    return met.select(arm, "det_id", "cls", outcome.alias("outcome"))
+    box = scenes.schema["boxes"].dataType.elementType
+    return scenes.select("image_id", "boxes").mapInArrow(_unmatched(first, second, threshold), f"arm {box['arm'].dataType.simpleString()}, det_id {box['id'].dataType.simpleString()}, cls string, outcome string")

@@ -8,9 +8,9 @@ from marlstone.functions.hashing import hash_fold
 from marlstone.operators import aggregates as agg
 from marlstone.operators import audit, coco, graph, joins, matching, rules
 from marlstone.operators.sampling import first_in_group
-from marlstone.plans.fixtures import annotations, detections, sql, table, vectors
+from marlstone.plans.fixtures import annotations, detections, scenes, sql, table, vectors
 from marlstone.plans.join_queries import BASE, COSINE, GUARD, VEC
-from marlstone.plans.matching_queries import _I, _matched, greedy_sql, recursive
+from marlstone.plans.matching_queries import _I, greedy_sql, recursive
 from marlstone.plans.registry import query
 from marlstone.plans.rule_queries import records
 
@@ -28,8 +28,7 @@ p AS (SELECT l, r FROM pf WHERE l IS NOT NULL)
 SELECT cls, CASE WHEN arm = 0 AND det_id IN (SELECT l FROM p) THEN 'shared_fp' WHEN arm = 1 AND det_id IN (SELECT r FROM p) THEN 'second_of_shared' WHEN arm = 0 THEN 'fixed_fp' ELSE 'new_fp' END AS outcome, count(*) AS n FROM wrong GROUP BY ALL"""))
 def false_positive_difference(spark, sf_dir):
     """False positives of two arms, paired by overlap: shared ones, those that the second arm mended and those that it made."""
-    det, _, edges = _matched(spark, sf_dir, (0, 1))
-    return matching.false_positive_outcomes(det, edges, 0, 1, 0.5).groupBy("cls", "outcome").agg(F.count("*").alias("n"))
+    return matching.false_positive_outcomes(scenes(spark, sf_dir), 0, 1, 0.5).groupBy("cls", "outcome").agg(F.count("*").alias("n"))
 
 
 @query(sql("""

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import rle
-from marlstone.operators import bootstrap, coco, rules
+from marlstone.operators import bootstrap, coco, matching, rules
+from marlstone.plans import registry
 
 
 def plan_of(df):
@@ -254,3 +255,31 @@ def test_records_are_spread_once_and_judged_in_rows(spark):
         parts = plan_of(registry.queries()[name](spark, "/root/testdata/sf0.001")).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")
         assert parts[0].count("exists(") == earlier and "transform(" not in parts[0]
         assert parts[1].count("Exchange hashpartitioning") == 1, parts[1]
+
+
+def test_false_positives_of_images_in_one_exchange(spark):
+    """As matching by arms and joins have it, with ties, unknown classes, scores, images and boxes; the tables are spread once."""
+    rng = random.Random(12)
+    some = lambda x, p=0.03: None if rng.random() < p else x
+    scenes = []
+    for image in range(400):
+        boxes = []
+        for j in range(rng.randrange(16)):
+            arm = rng.choice([None, 0, 1, 1, 2])
+            boxes.append((arm, len(scenes) * 100 + j, some(rng.choice(["head", "helmet"])), some(rng.randrange(4) * 4), rng.randrange(3) * 4, rng.choice([8, 12]), rng.choice([8, 12]), None if arm is None else some(rng.randrange(4) / 4)))
+        scenes.append((image if image else None, boxes))
+    scenes.append((400, []))
+    df = spark.createDataFrame(scenes, "image_id long, boxes array<struct<arm:int,id:long,cls:string,x:int,y:int,w:int,h:int,score:double>>")
+    rows = df.select("image_id", F.inline("boxes"))
+    det, truth = rows.where("arm in (0, 1)").withColumnRenamed("id", "det_id"), rows.where("arm is null").withColumnRenamed("id", "ann_id")
+    edges = matching.greedy(matching.candidates(det, truth, ["image_id", "cls"], ["arm"]), ["arm", "image_id", "cls"], 0.5)
+    wrong = det.join(edges.select("arm", "det_id"), ["arm", "det_id"], "left_anti")
+    pairs = matching.greedy_pairs(matching.candidates(wrong.where("arm = 0"), wrong.where("arm = 1").withColumnRenamed("det_id", "ann_id"), ["image_id", "cls"]), ["image_id"], 0.5).collect()
+    ends = {(0, p.det_id) for p in pairs} | {(1, p.ann_id) for p in pairs}
+    name = {(0, True): "shared_fp", (1, True): "second_of_shared", (0, False): "fixed_fp", (1, False): "new_fp"}
+    expected = [(r.arm, r.det_id, r.cls, name[r.arm, (r.arm, r.det_id) in ends]) for r in wrong.collect()]
+    got = [tuple(r) for r in matching.false_positive_outcomes(df, 0, 1, 0.5).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len(pairs) > 50 and edges.count() > 50
+    assert matching.false_positive_outcomes(df.where("image_id = 400"), 0, 1, 0.5).collect() == []
+    plan = plan_of(registry.queries()["false_positive_difference"](spark, "/root/testdata/sf0.001")).split("== Physical Plan ==")[1]
+    assert plan.count("Exchange hashpartitioning(image_id") == 1 and "Join" not in plan
